@@ -125,12 +125,17 @@ def train_test_split(
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean over their population deviation (0 where all are equal)."""
     stats = df.agg(
-        *[F.avg(double(F.col(c))).alias(f"{c}_m") for c in columns],
-        *[F.stddev_pop(double(F.col(c))).alias(f"{c}_s") for c in columns],
+        *[
+            F.struct(
+                F.avg(double(F.col(c))).alias("media"), F.stddev_pop(double(F.col(c))).alias("desv")
+            ).alias(c)
+            for c in columns
+        ]
     )
+    all_stats = stats.select(F.struct("*")).scalar()  # one pass for all columns
     scaled = {}
     for c in columns:
-        mean, deviation = stats.select(f"{c}_m").scalar(), stats.select(f"{c}_s").scalar()
+        mean, deviation = all_stats[c]["media"], all_stats[c]["desv"]
         scaled[c] = F.when(deviation == 0, num(0)).otherwise((double(F.col(c)) - mean) / deviation)
     return df.withColumns(scaled)
 
@@ -148,7 +153,8 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Weight n / (classes * rows of the class) per class."""
     counts = df.groupBy(label).agg(F.count("*").alias("filas"))
-    total = counts.agg(F.sum("filas")).scalar()
-    classes = counts.agg(F.count("*")).scalar()
-    weight = double(total) / (double(classes) * double(F.col("filas")))
+    whole = counts.agg(
+        F.struct(F.sum("filas").alias("total"), F.count("*").alias("clases"))
+    ).scalar()
+    weight = double(whole["total"]) / (double(whole["clases"]) * double(F.col("filas")))
     return counts.withColumn("peso", weight)

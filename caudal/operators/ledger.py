@@ -216,17 +216,17 @@ def amount_vs_history(tx: DataFrame, limit: int = HEAVY_ROWS) -> DataFrame:
 def new_device_flag(tx: DataFrame) -> DataFrame:
     """1 on the first row of a device on an account, unless it is the account's first row.
 
-    First rows come from map-side combined minima, and go back to the ledger by row id, so
-    neither step holds the rows of an account together.
+    First rows come from map-side combined minima, and are matched by row id from then on,
+    so no step holds the rows or devices of an account together.
     """
-    moment = F.struct("fecha_hora", "id")
-    used = tx.filter(F.col("dispositivo_id").isNotNull())
-    per_device = used.groupBy("cuenta_id", "dispositivo_id").agg(F.min(moment).alias("m"))
-    first = tx.groupBy("cuenta_id").agg(F.min(moment).alias("m0"))
+    per_device = tx.groupBy("cuenta_id", "dispositivo_id").agg(
+        F.min(F.struct("fecha_hora", "id")).alias("m")
+    )
+    first = per_device.groupBy("cuenta_id").agg(F.min("m").alias("m")).select("m.id")
     fresh = (
-        per_device.join(first, "cuenta_id")
-        .filter(F.col("m.id") != F.col("m0.id"))
-        .select(F.col("m.id").alias("id"), F.lit(1).alias("nuevo"))
+        per_device.filter(F.col("dispositivo_id").isNotNull()).select("m.id")
+        .join(first, "id", "left_anti")
+        .withColumn("nuevo", F.lit(1))
     )
     return tx.select("id", "cuenta_id", "dispositivo_id").join(fresh, "id", "left").select(
         "id", "cuenta_id", "dispositivo_id",

@@ -329,20 +329,19 @@ def instalments_due(loans: DataFrame) -> DataFrame:
     Months without that day are passed over, as many months as it takes to fill the term
     (two calendar months hold at least one such day, so twice the term always suffices).
     """
+    granted, term = F.col("fecha_otorgamiento"), F.col("plazo_meses")
+    day = F.dayofmonth(granted)
+    every_month = F.sequence(
+        granted, F.add_months(granted, term - 1), F.expr("interval 1 month")
+    )
+    candidates = F.transform(
+        F.sequence(F.lit(0), 2 * term),
+        lambda m: F.date_add(F.add_months(F.trunc(granted, "MM"), m), day - 1),
+    )
+    having_the_day = F.filter(candidates, lambda d: F.dayofmonth(d) == day)
+    dates = F.when(day <= 28, every_month).otherwise(F.slice(having_the_day, F.lit(1), term))
     return loans.select(
-        F.col("id").alias("credito_id"),
-        F.posexplode(
-            F.expr(
-                """slice(
-                     filter(
-                       transform(
-                         sequence(0, 2*plazo_meses),
-                         m -> date_add(add_months(trunc(fecha_otorgamiento, 'MM'), m),
-                                       dayofmonth(fecha_otorgamiento)-1)),
-                       d -> dayofmonth(d) = dayofmonth(fecha_otorgamiento)),
-                     1, plazo_meses)"""
-            )
-        ).alias("n", "fecha_cuota"),
+        F.col("id").alias("credito_id"), F.posexplode(dates).alias("n", "fecha_cuota")
     ).select("credito_id", (F.col("n") + 1).alias("cuota_no"), "fecha_cuota")
 
 

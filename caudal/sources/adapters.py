@@ -11,6 +11,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events", "labels")
 
@@ -196,8 +197,7 @@ def _indicadores_macro(d: Dialect) -> str:
 
 def _resumen_liquidez_diario(d: Dialect) -> str:
     def total(condition: str = "") -> str:
-        price = "cast(l_extendedprice as decimal(18,2))"
-        part = f"case when {condition} then {price} else 0 end" if condition else price
+        part = f"case when {condition} then price else 0 end" if condition else "price"
         return f"cast(sum({part}) as decimal(20,2))"
 
     return f"""
@@ -213,13 +213,16 @@ def _resumen_liquidez_diario(d: Dialect) -> str:
                  cast(total_depositos_ves*cast(0.73 as decimal(3,2)) as decimal(20,2))
                      as encaje_legal_bcv_ves,
                  {official_rate("fecha")} as tasa
-          from (select cast(l_shipdate as date) as fecha,
+          from (select fecha,
                        {total()} as total_depositos_ves,
                        {total("l_returnflag='R'")} as total_depositos_usd,
                        {total("l_returnflag='A'")} as total_creditos_ves,
                        {total("l_returnflag='N'")} as total_creditos_usd,
                        {total("l_linestatus='F'")} as disponible_caja_ves
-                from {{lineitem}} group by cast(l_shipdate as date)) as sums) as daily"""
+                from (select cast(l_shipdate as date) as fecha, l_returnflag, l_linestatus,
+                             cast(l_extendedprice as decimal(18,2)) as price
+                      from {{lineitem}}) as lines
+                group by fecha) as sums) as daily"""
 
 
 def _operaciones_tesoreria(d: Dialect) -> str:
@@ -240,21 +243,23 @@ def _operaciones_tesoreria(d: Dialect) -> str:
 
 def _flujos_entidad(d: Dialect) -> str:
     """Daily flows of several banks (the regions), input of the cash roll-forward."""
-    price = "cast(l_extendedprice as decimal(18,2))"
     return f"""
     select r_name as entidad,
            fecha,
            {official_rate("fecha")} as tasa_bcv_usd_ves,
            flujo_neto_usd, total_depositos_ves, total_depositos_usd
-    from (select n_regionkey, cast(l_shipdate as date) as fecha,
-                 cast(sum(case when l_linestatus='F' then {price} else -{price} end)
+    from (select n_regionkey, fecha,
+                 cast(sum(case when l_linestatus='F' then price else -price end)
                       as decimal(20,2)) as flujo_neto_usd,
-                 cast(sum({price}) as decimal(20,2)) as total_depositos_ves,
-                 cast(sum(case when l_returnflag='R' then {price} else 0 end)
+                 cast(sum(price) as decimal(20,2)) as total_depositos_ves,
+                 cast(sum(case when l_returnflag='R' then price else 0 end)
                       as decimal(20,2)) as total_depositos_usd
-          from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey
+          from (select l_suppkey, cast(l_shipdate as date) as fecha, l_returnflag, l_linestatus,
+                       cast(l_extendedprice as decimal(18,2)) as price
+                from {{lineitem}}) as lines
+               join {{supplier}} on l_suppkey = s_suppkey
                join {{nation}} on s_nationkey = n_nationkey
-          group by n_regionkey, cast(l_shipdate as date)) as sums
+          group by n_regionkey, fecha) as sums
          join {{region}} on n_regionkey = r_regionkey"""
 
 
@@ -290,6 +295,10 @@ def checker_tables(*names: str) -> str:
     return ",\n".join(bodies)
 
 
+# Schemas already read from file footers, so that each table's footer is read once.
+_schemas: dict[str, StructType] = {}
+
+
 class Bank:
     """Bank tables over one folder of the given tables; nothing is read until used."""
 
@@ -300,7 +309,11 @@ class Bank:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            known = _schemas.get(path)
+            reader = self.spark.read if known is None else self.spark.read.schema(known)
+            self._read[name] = reader.parquet(path)
+            _schemas[path] = self._read[name].schema
         return self._read[name]
 
     def _table(self, text: str) -> DataFrame:
