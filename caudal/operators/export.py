@@ -51,17 +51,20 @@ def sql_literals(df: DataFrame, table: str, chunk: int = K.INSERT_ROWS) -> DataF
     """INSERT statements of up to ``chunk`` rows, made where the rows are: no shuffle."""
     head = f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES\n"
 
+    def joined(rows: list[str]) -> pd.DataFrame:
+        texts = [head + ",\n".join(rows[i:i + chunk]) + ";" for i in range(0, len(rows), chunk)]
+        return pd.DataFrame({"sentencia": pd.Series(texts, dtype="object")})
+
     def statements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[str] = []
         for batch in batches:
             waiting.extend(batch["fila"])
             full = len(waiting) - len(waiting) % chunk
-            yield pd.DataFrame({"sentencia": [
-                head + ",\n".join(waiting[i:i + chunk]) + ";" for i in range(0, full, chunk)
-            ]})
-            waiting = waiting[full:]
+            if full:
+                yield joined(waiting[:full])
+                waiting = waiting[full:]
         if waiting:
-            yield pd.DataFrame({"sentencia": [head + ",\n".join(waiting) + ";"]})
+            yield joined(waiting)
 
     return row_literals(df).mapInPandas(statements, "sentencia string")
 

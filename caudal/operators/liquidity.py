@@ -210,7 +210,7 @@ def cash_rollforward(
     columns = ["tasa_bcv_usd_ves", "flujo_neto_usd", "total_depositos_ves", "total_depositos_usd"]
 
     def roll(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("fecha")
+        days = days.astype({"entidad": "object"}).sort_values("fecha")
         cash, out = opening, []
         for rate, flow, ves, usd in zip(*[days[c].tolist() for c in columns]):
             cash = max(ves * floor, cash + flow * rate)

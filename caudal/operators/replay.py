@@ -132,7 +132,7 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = batch[["id", "cuenta_id", "codigo_error"]].assign(
             decision=decisions, centavos_saldo=balances
         )
-        out = out[out["decision"] >= 0].astype({"id": "int64"})
+        out = out[out["decision"] >= 0].astype({"id": "int64", "codigo_error": "object"})
         yield out[_names(_DECIDED)]
 
 
