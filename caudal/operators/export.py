@@ -99,4 +99,6 @@ def with_dense_ids(df: DataFrame, name: str = "id", first: int = 1) -> DataFrame
         .select("_parte", "_base")
     )
     ids = F.col("_base") + F.col("_pos") + first
-    return stored.join(offsets, "_parte").withColumn(name, ids).select(name, *df.columns)
+    # One small row per partition: broadcast, so that the stored rows stay where they are.
+    placed = stored.join(F.broadcast(offsets), "_parte")
+    return placed.withColumn(name, ids).select(name, *df.columns)

@@ -12,7 +12,7 @@ from caudal.functions.numeric import (
     count_if, double, exact_mean, french_instalment, num, pct, round_half_up, share, sum_if,
     to_usd, to_ves, zero_if_null,
 )
-from caudal.operators.support import HEAVY_ROWS, join_daily, running_totals
+from caudal.operators.support import join_daily
 
 # ---- one-row figures ----------------------------------------------------------------
 
@@ -358,20 +358,37 @@ def payment_class(payments: DataFrame) -> DataFrame:
     )
 
 
-def loan_balance_path(
-    loans: DataFrame, payments: DataFrame, limit: int = HEAVY_ROWS
-) -> DataFrame:
-    """Straight-line balance after each paid instalment, never below zero."""
-    paid = payments.filter(F.col("dias_atraso") == 0).select("credito_id", "fecha_pago")
-    numbered = running_totals(
-        paid, "credito_id", "fecha_pago", ["fecha_pago"], {"cuota_no": F.lit(1)}, limit
+def loan_balance_path(loans: DataFrame, payments: DataFrame) -> DataFrame:
+    """Straight-line balance after each paid instalment, never below zero.
+
+    Instalments of one loan and date are counted first, which leaves at most a calendar of
+    rows per loan to accumulate, and numbered again from the counts at the end.
+    """
+    daily = (
+        payments.filter(F.col("dias_atraso") == 0)
+        .groupBy("credito_id", "fecha_pago").agg(F.count("*").alias("n"))
+    )
+    upto = (
+        Window.partitionBy("credito_id").orderBy("fecha_pago")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
     terms = loans.select(
         F.col("id").alias("credito_id"), "monto_aprobado_usd", "cuotas_totales"
     )
+    last, block = F.col("hasta"), 4096
+    numbered = (
+        daily.withColumn("hasta", F.sum("n").over(upto))
+        .join(terms, "credito_id")
+        # Two steps, so that a date with very many payments makes no long array.
+        .withColumn("desde", F.explode(F.sequence(last - F.col("n") + 1, last, F.lit(block))))
+        .withColumn(
+            "cuota_no",
+            F.explode(F.sequence(F.col("desde"), F.least(F.col("desde") + block - 1, last))),
+        )
+    )
     amount = double(F.col("monto_aprobado_usd"))
     left = amount - F.col("cuota_no") * (amount / F.col("cuotas_totales"))
-    return numbered.join(terms, "credito_id").select(
+    return numbered.select(
         "credito_id", "fecha_pago", "cuota_no", F.greatest(num(0), left).alias("saldo_usd")
     )
 

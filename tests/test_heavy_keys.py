@@ -81,12 +81,19 @@ def test_running_figures_do_not_depend_on_the_limit(spark):
          ledger.running_balance(b.transacciones, b.cuentas, limit=5))
     same(ledger.amount_vs_history(b.transacciones),
          ledger.amount_vs_history(b.transacciones, limit=5))
-    same(portfolio.loan_balance_path(b.creditos, b.pagos_creditos),
-         portfolio.loan_balance_path(b.creditos, b.pagos_creditos, limit=2))
     same(authorization_replay(b.transacciones, b.cuentas),
          authorization_replay(b.transacciones, b.cuentas, limit=6))
 
 
+def test_instalments_of_one_day_are_all_numbered(make):
+    """More payments on one date than fit into one block of numbers."""
+    days = [dt.date(2024, 1, 2)] * 3 + [dt.date(2024, 1, 3)] * 5000 + [dt.date(2024, 1, 4)]
+    loans = make("creditos", dict(cuotas_totales=10000, monto_aprobado_usd=10000))
+    paid = make("pagos_creditos", *[dict(id=n, fecha_pago=d) for n, d in enumerate(days)])
+    got = sorted(tuple(r) for r in portfolio.loan_balance_path(loans, paid).collect())
+    assert got == sorted((1, d, n, 10000.0 - n) for n, d in enumerate(days, 1))
+
+
 def test_last_running_balance_is_the_closing_balance(spark):
     b = Bank(spark, "/root/testdata/sf0.001")
     order = {r["id"]: r["fecha_hora"] for r in b.transacciones.select("id", "fecha_hora").collect()}
