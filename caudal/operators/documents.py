@@ -15,6 +15,9 @@ from caudal.operators import liquidity as Q
 from caudal.operators import portfolio as P
 
 
+LEVELS = ("depositos_ves", "depositos_usd", "disponible_ves", "encaje_ves")
+
+
 def _one(df: DataFrame) -> Column:
     """The only row of a report as one value."""
     return df.select(F.struct("*")).scalar()
@@ -85,15 +88,25 @@ def operational_document(
                pct(failed, total).alias("tasa_falla_pct"),
                also=failed > total * num(K.OUTAGE_SHARE)),
     )
-    frauds = L.top_frauds(tx, accounts, clients).withColumn("orden", -F.col("monto_usd"))
-    return lists.select(
-        F.to_json(F.struct("*", _many(frauds, "orden", "id").alias("listado_fraudes")))
-        .alias("documento")
+    frauds = L.top_frauds(tx, accounts, clients).withColumns(
+        {
+            "orden": -F.col("monto_usd"),
+            "fecha_hora": F.date_format("fecha_hora", "yyyy-MM-dd HH:mm:ss"),
+        }
+    )
+    listing = F.transform(F.col("frauds"), lambda row: row.dropFields("orden"))
+    return lists.withColumn("frauds", _many(frauds, "orden", "id")).select(
+        F.to_json(F.struct(*lists.columns, listing.alias("listado_fraudes"))).alias("documento")
     )
 
 
 def liquidity_document(daily: DataFrame, ops: DataFrame) -> DataFrame:
-    weekly = Q.liquidity_weekly(daily).drop("semana")
+    weekly = Q.liquidity_weekly(daily).select(
+        "fecha",
+        # Plain digits in the text, where a large double would be written with an exponent.
+        *[F.col(c).cast("decimal(22,2)").alias(c) for c in LEVELS],
+        "tasa_liquidez",
+    )
     return _document(
         daily,
         evolucion=_many(weekly, "fecha"),

@@ -11,6 +11,7 @@ from caudal.operators import documents as D
 from caudal.operators import export as E
 from caudal.operators import quality as V
 from caudal.operators.support import new_folder
+from caudal.plans import credit, ledger, treasury
 from caudal.plans.registry import Query, sql_pct
 from caudal.sources.adapters import Bank
 from caudal.sources.schemas import SCHEMAS, TABLES
@@ -69,6 +70,38 @@ def _row_sql(table: str) -> str:
     return "'(' || " + " || ', ' || ".join(parts) + " || ')'"
 
 
+def _json_sql(**lists: str) -> str:
+    """A document of named lists."""
+    parts = " || ',' || ".join(f"'\"{name}\":' || ({text})" for name, text in lists.items())
+    return f"select '{{' || {parts} || '}}' documento"
+
+
+def _json_list(module, name: str, *order: str, drop: str = "", exact=()) -> str:
+    """The checking SQL of a report as the text of a JSON list."""
+    query = module.QUERIES[name]
+    texts = []
+    for column, kind in query.columns:
+        if column == drop:
+            continue
+        value = f'"{column}"'
+        if kind[0] == "d" and column not in exact and kind != "d":
+            digits = kind[1:]
+            value = f"(floor(cast({value} as double)*1e{digits}+0.5e0)/1e{digits})"
+        elif column in exact:
+            value = f"cast(floor(cast({value} as double)*1e2+0.5e0)/1e2 as decimal(22,2))"
+        elif kind == "s":
+            value = f"strftime({value}, '%Y-%m-%d %H:%M:%S')"
+        value = f"cast({value} as varchar)"
+        if kind in ("t", "f", "s"):
+            value = f"'\"' || {value} || '\"'"
+        texts.append(f"'\"{column}\":' || {value}")
+    row = "'{' || " + " || ',' || ".join(texts) + " || '}'"
+    return (
+        f"select '[' || string_agg({row}, ',' order by {', '.join(order)}) || ']' "
+        f"from ({query.sql}) r"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "dq_nulls": Query(
         "tabla:t columna:t nulos:l",
@@ -178,16 +211,44 @@ QUERIES: dict[str, Query] = {
                  (select count(*) n, sum(es_fraude) f, sum(es_fraude*monto_usd) u,
                          count(*) filter (estado='Fallida') x from transacciones) o""",
     ),
-    "macro_document": Query("documento:t", lambda b: D.macro_document(b.indicadores_macro)),
+    "macro_document": Query(
+        "documento:t",
+        lambda b: D.macro_document(b.indicadores_macro),
+        "indicadores_macro",
+        _json_sql(series=_json_list(treasury, "macro_monthly", "mes")),
+    ),
     "credit_document": Query(
-        "documento:t", lambda b: D.credit_document(b.creditos, b.clientes, b.pagos_creditos)
+        "documento:t",
+        lambda b: D.credit_document(b.creditos, b.clientes, b.pagos_creditos),
+        "creditos clientes pagos_creditos",
+        _json_sql(
+            scores=_json_list(credit, "default_by_score_band", "rango"),
+            cartera_tipo=_json_list(credit, "portfolio_by_type_status", "tipo", "estado"),
+            evolucion_morosidad=_json_list(credit, "delinquency_monthly", "mes"),
+            actividad_economica=_json_list(credit, "default_by_activity", "actividad"),
+        ),
     ),
     "operational_document": Query(
         "documento:t",
         lambda b: D.operational_document(b.transacciones, b.cuentas, b.clientes),
+        "transacciones cuentas clientes",
+        _json_sql(
+            canales=_json_list(ledger, "tx_by_channel_status", "canal", "estado"),
+            fraudes_canal=_json_list(ledger, "fraud_by_channel", "canal"),
+            caidas_sistema=_json_list(ledger, "outage_days", "dia", drop="completadas"),
+            listado_fraudes=_json_list(ledger, "top_frauds", "monto_usd desc", "id"),
+        ),
     ),
     "liquidity_document": Query(
         "documento:t",
         lambda b: D.liquidity_document(b.resumen_liquidez_diario, b.operaciones_tesoreria),
+        "resumen_liquidez_diario operaciones_tesoreria",
+        _json_sql(
+            evolucion=_json_list(
+                treasury, "liquidity_weekly", "fecha", drop="semana", exact=D.LEVELS
+            ),
+            tesoreria=_json_list(treasury, "treasury_by_operation", "operacion"),
+            flujo_mensual=_json_list(treasury, "treasury_monthly_flow", "mes"),
+        ),
     ),
 }
