@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caudal import constants as K
 from caudal.functions.text import sql_literal
 from caudal.operators.quality import row_counts
-from caudal.operators.support import materialize
+from caudal.operators.support import join_small, materialize
 
 Tables = dict[str, DataFrame]
 
@@ -99,6 +99,5 @@ def with_dense_ids(df: DataFrame, name: str = "id", first: int = 1) -> DataFrame
         .select("_parte", "_base")
     )
     ids = F.col("_base") + F.col("_pos") + first
-    # One small row per partition: broadcast, so that the stored rows stay where they are.
-    placed = stored.join(F.broadcast(offsets), "_parte")
+    placed = join_small(stored, offsets, "_parte")  # one row per partition
     return placed.withColumn(name, ids).select(name, *df.columns)

@@ -14,7 +14,7 @@ from caudal.functions.numeric import (
 )
 from caudal.functions.text import device_number, document_prefix, is_company, mail_address
 from caudal.operators.ledger import account_owner
-from caudal.operators.support import join_daily
+from caudal.operators.support import join_small
 
 NUMERIC = [
     "score_credito", "ingresos_mensuales_usd", "monto_aprobado_usd", "tasa_interes_anual",
@@ -46,7 +46,7 @@ def credit_features(
     if macro is not None:
         context = ["inflacion_mensual_pct", "variacion_pib_mensual_pct"]
         day = macro.select(F.col("fecha").alias("fecha_otorgamiento"), *context)
-        rows = join_daily(rows, day, "fecha_otorgamiento")
+        rows = join_small(rows, day, "fecha_otorgamiento")
     return rows.select(
         "id", *[c for c in NUMERIC if c != "ratio_cuota_ingreso"], *CATEGORICAL, *context,
         instalment_to_income(amount, term, income).alias("ratio_cuota_ingreso"),

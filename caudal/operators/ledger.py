@@ -15,7 +15,7 @@ from caudal.functions.numeric import (
 )
 from caudal.functions.text import coordinates, full_name
 from caudal.operators.portfolio import instalment, preferred_account
-from caudal.operators.support import HEAVY_ROWS, join_daily, running_totals
+from caudal.operators.support import HEAVY_ROWS, join_small, running_totals
 
 
 def _fraud() -> Column:
@@ -366,7 +366,7 @@ def payroll_run(
         .filter(F.col("fecha") >= F.col("fecha_apertura"))
     )
     retired = F.col("actividad_economica") == retiree
-    due = join_daily(paid, rates, "fecha").filter(~(retired & (F.dayofmonth("fecha") == 30)))
+    due = join_small(paid, rates, "fecha").filter(~(retired & (F.dayofmonth("fecha") == 30)))
     half = (F.col("ingresos_mensuales_usd") / 2).cast("decimal(18,2)")
     salary = F.when(retired, F.col("ingresos_mensuales_usd")).otherwise(half)
     return _bank_rows(due, K.DEPOSIT, "Taquilla", salary, F.lit("VES"), "08:30:00")
@@ -402,7 +402,7 @@ def _placed(rows: DataFrame, accounts: DataFrame, macro: DataFrame, which: str)
     currency = accounts.select(F.col("id").alias("cuenta_id"), "moneda")
     side = chosen.join(currency, "cuenta_id")
     rate = macro.select("fecha", F.col("tasa_bcv_usd_ves").alias("tasa_cambio"))
-    return join_daily(rows.join(side, "cliente_id"), rate, "fecha")
+    return join_small(rows.join(side, "cliente_id"), rate, "fecha")
 
 
 def ledger_union(*parts: DataFrame) -> DataFrame:

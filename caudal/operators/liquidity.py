@@ -19,7 +19,7 @@ from caudal.functions.numeric import (
     double, exact_mean, legal_reserve, liquidity_gap, liquidity_ratio, minimum_cash, num,
     rate_spread, round_half_up, sum_if,
 )
-from caudal.operators.support import join_daily
+from caudal.operators.support import join_small
 
 # ---- macro --------------------------------------------------------------------------
 
@@ -70,7 +70,7 @@ def month_rate_lookup(
         exact_mean(F.col("variacion_pib_mensual_pct")).alias("pib_var_pct"),
     )
     keyed = df.withColumn("mes", year_month(F.col(day)))
-    return join_daily(keyed, months, "mes", "left").fillna(
+    return join_small(keyed, months, "mes", "left").fillna(
         {"inflacion_pct": inflation, "pib_var_pct": gdp}
     )
 
@@ -118,8 +118,8 @@ def liquidity_ratios(daily: DataFrame, macro: DataFrame) -> DataFrame:
     deposits, cash = F.col("total_depositos_ves"), F.col("disponible_caja_ves")
     reserve = legal_reserve(deposits)
     gap = liquidity_gap(cash, reserve, F.col("tasa_bcv_usd_ves"))
-    rows = join_daily(daily.select("fecha", deposits, cash),
-                      macro.select("fecha", "tasa_bcv_usd_ves"), "fecha")
+    rates = macro.select("fecha", "tasa_bcv_usd_ves")
+    rows = daily.select("fecha", deposits, cash).join(rates, "fecha")
     return rows.select(
         "fecha",
         reserve.alias("encaje_ves"),
@@ -152,7 +152,7 @@ def liquidity_features(daily: DataFrame, macro: DataFrame) -> DataFrame:
     """Lagged deposits, rate spread, payday and December marks, and the gap to forecast."""
     columns = ["total_depositos_ves", "total_depositos_usd"]
     lags = liquidity_lags(daily, [*columns, "brecha_liquidez_usd"])
-    rows = join_daily(lags, fx_spread(macro), "fecha")
+    rows = lags.join(fx_spread(macro), "fecha")
     return rows.select(
         "fecha",
         *[f"{c}_t{n}" for c in columns for n in LAGS],
@@ -246,7 +246,7 @@ def treasury_operations(
     rate = F.when(funding, double(F.col("tasa_activa_ves_anual")) * num(funding_rate)).otherwise(
         double(F.col("tasa_pasiva_ves_anual")) * num(investing_rate)
     )
-    return join_daily(made, rates, "fecha").select(
+    return made.join(rates, "fecha").select(
         "entidad",
         "fecha",
         F.when(funding, K.FUNDING).otherwise(K.INVESTING[1]).alias("tipo_operacion"),

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from caudal import constants as K
 from caudal.functions.numeric import double
 from caudal.operators.features import CATEGORICAL, NUMERIC, TARGET, class_weights
+from caudal.operators.support import join_small
 
 WEIGHT = "peso"
 
 
 def weighted(df: DataFrame, label: str = TARGET) -> DataFrame:
-    """Rows with the balanced weight of their class (a label has a handful of classes)."""
-    weights = class_weights(df, label).select(label, WEIGHT)
-    return df.join(F.broadcast(weights), label)
+    """Rows with the balanced weight of their class."""
+    return join_small(df, class_weights(df, label).select(label, WEIGHT), label)
 
 
 def _preparation(numeric: list[str], categorical: list[str]) -> list:

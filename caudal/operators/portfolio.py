@@ -12,7 +12,7 @@ from caudal.functions.numeric import (
     count_if, double, exact_mean, french_instalment, num, pct, round_half_up, share, sum_if,
     to_usd, to_ves, zero_if_null,
 )
-from caudal.operators.support import join_daily
+from caudal.operators.support import join_small
 
 # ---- one-row figures ----------------------------------------------------------------
 
@@ -144,7 +144,7 @@ def delinquency_vs_inflation(payments: DataFrame, macro: DataFrame) -> DataFrame
         round_half_up(exact_mean(F.col("inflacion_mensual_pct")), 2).alias("inflacion_pct")
     )
     late = delinquency_monthly(payments).select("mes", "tasa_morosidad", "tasa_mora_mayor_90")
-    return join_daily(late, inflation, "mes").orderBy("mes")
+    return late.join(inflation, "mes").orderBy("mes")
 
 
 def risk_profile(clients: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def inflation_delay_corr(payments: DataFrame, macro: DataFrame) -> DataFrame:
     x = F.col("inflacion_mensual_pct")
     n = F.col("n").cast("decimal(20,0)")
     y = F.col("y").cast("decimal(20,0)")
-    sums = join_daily(per_date, macro.select("fecha", "inflacion_mensual_pct"), "fecha").agg(
+    sums = per_date.join(macro.select("fecha", "inflacion_mensual_pct"), "fecha").agg(
         F.sum("n").alias("pagos"),
         double(F.sum(n * x)).alias("sx"),
         double(F.sum(y)).alias("sy"),
@@ -185,7 +185,7 @@ def default_volatility(loans: DataFrame, clients: DataFrame, macro: DataFrame) -
         .select("mes")
     )
     dated = loans.withColumn("mes", year_month(F.col("fecha_otorgamiento")))
-    in_months = join_daily(dated, falling, "mes", "left_semi")
+    in_months = join_small(dated, falling, "mes", "left_semi")
     rows = _with_client(_per_client(in_months, "mes"), clients, "actividad_economica")
     monthly = (
         rows.groupBy(F.col("actividad_economica").alias("actividad"), "mes")
@@ -209,7 +209,7 @@ def open_loan_balance(loans: DataFrame, macro: DataFrame) -> DataFrame:
     level = granted.select("fecha", F.sum("nuevo").over(upto).alias("total_creditos_usd"))
     daily = carry_forward(level, "fecha")
     rate = macro.select("fecha", "tasa_bcv_usd_ves")
-    return join_daily(daily, rate, "fecha").select(
+    return daily.join(rate, "fecha").select(
         "fecha",
         "total_creditos_usd",
         to_ves(double(F.col("total_creditos_usd")), double(F.col("tasa_bcv_usd_ves")))
@@ -308,14 +308,14 @@ def loan_macro_context(loans: DataFrame, macro: DataFrame) -> DataFrame:
         F.col("fecha").alias("fecha_otorgamiento"),
         "inflacion_mensual_pct", "variacion_pib_mensual_pct", "tasa_bcv_usd_ves",
     )
-    return join_daily(loans, context, "fecha_otorgamiento").select(
+    return join_small(loans, context, "fecha_otorgamiento").select(
         "id", "fecha_otorgamiento", *context.columns[1:]
     )
 
 
 def expected_default(loans: DataFrame, clients: DataFrame, macro: DataFrame) -> DataFrame:
     dated = loans.select("id", "cliente_id", F.col("fecha_otorgamiento").alias("fecha"))
-    rows = join_daily(dated, macro.select("fecha", "inflacion_mensual_pct"), "fecha")
+    rows = join_small(dated, macro.select("fecha", "inflacion_mensual_pct"), "fecha")
     return _with_client(rows, clients, "score_credito").select(
         "id",
         rules.default_probability(F.col("inflacion_mensual_pct"), F.col("score_credito"))

@@ -1,4 +1,4 @@
-"""Shared building blocks: safe cut of lineage, calendar joins, heavy keys."""
+"""Shared building blocks: safe cut of lineage, checked small joins, heavy keys."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caudal.functions.calendar import minute_number
 
 HEAVY_ROWS = 1_000_000
-BROADCAST_KEYS = 500_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,13 +37,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_daily(df: DataFrame, daily: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a series keyed by date (or month).
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a side that should be small: sent to every executor if its counted size allows.
 
-    The series has one row per calendar day, about 36,500 in a century whatever the size of
-    the facts, so it is always small enough to send to every executor.
+    The side is stored first, so counting it does not compute it twice. Series keyed by date
+    come here: a row per day, about 36,500 in a century whatever the size of the facts. Beyond
+    ``BROADCAST_ROWS`` Spark joins by shuffling as usual.
     """
-    return df.join(F.broadcast(daily), on, how)
+    stored = materialize(small)
+    side = F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+    return df.join(side, on, how)
 
 
 def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame | None:
@@ -52,7 +55,7 @@ def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame | None:
     if heavy.isEmpty():
         return None
     heavy = materialize(heavy)
-    return F.broadcast(heavy) if heavy.count() <= BROADCAST_KEYS else heavy
+    return F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
 
 
 def time_slice(df: DataFrame, key: str, time: str, heavy: DataFrame) -> DataFrame:
