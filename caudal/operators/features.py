@@ -132,12 +132,12 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
             for c in columns
         ]
     )
-    all_stats = stats.select(F.struct("*")).scalar()  # one pass for all columns
+    rows = df.withColumn("_stats", stats.select(F.struct("*")).scalar())
     scaled = {}
     for c in columns:
-        mean, deviation = all_stats[c]["media"], all_stats[c]["desv"]
+        mean, deviation = F.col(f"_stats.{c}.media"), F.col(f"_stats.{c}.desv")
         scaled[c] = F.when(deviation == 0, num(0)).otherwise((double(F.col(c)) - mean) / deviation)
-    return df.withColumns(scaled)
+    return rows.withColumns(scaled).drop("_stats")
 
 
 def one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:

@@ -223,14 +223,11 @@ def new_device_flag(tx: DataFrame) -> DataFrame:
         F.min(F.struct("fecha_hora", "id")).alias("m")
     )
     first = per_device.groupBy("cuenta_id").agg(F.min("m").alias("m")).select("m.id")
-    fresh = (
-        per_device.filter(F.col("dispositivo_id").isNotNull()).select("m.id")
-        .join(first, "id", "left_anti")
-        .withColumn("nuevo", F.lit(1))
-    )
+    fresh = per_device.select("m.id").join(first, "id", "left_anti").withColumn("nuevo", F.lit(1))
+    known = F.col("dispositivo_id").isNotNull()
     return tx.select("id", "cuenta_id", "dispositivo_id").join(fresh, "id", "left").select(
         "id", "cuenta_id", "dispositivo_id",
-        zero_if_null(F.col("nuevo")).alias("dispositivo_nuevo"),
+        F.when(known, zero_if_null(F.col("nuevo"))).otherwise(0).alias("dispositivo_nuevo"),
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal import constants as K
@@ -249,11 +252,15 @@ def preferred_account(accounts: DataFrame) -> DataFrame:
 
     Dollars come before bolívares, then the lowest id.
     """
-    rank = F.struct(F.when(F.col("moneda") == "USD", 0).otherwise(1), F.col("id"))
-    active = F.when(F.col("estado_cuenta") == "Activa", rank)
+    usd = F.col("moneda") == "USD"
+    active = F.col("estado_cuenta") == "Activa"
+
+    def lowest(*conditions: Column) -> Column:
+        return F.min(F.when(reduce(and_, conditions, F.lit(True)), F.col("id")))
+
     return accounts.groupBy("cliente_id").agg(
-        F.min_by("id", rank).alias("cuenta_desembolso"),
-        F.min_by("id", active).alias("cuenta_cobro"),
+        F.coalesce(lowest(usd), lowest()).alias("cuenta_desembolso"),
+        F.coalesce(lowest(usd, active), lowest(active)).alias("cuenta_cobro"),
     )
 
 

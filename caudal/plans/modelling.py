@@ -11,6 +11,7 @@ from caudal.operators import features as X
 from caudal.operators import metrics as M
 from caudal.operators import models
 from caudal.operators.liquidity import gap_free, liquidity_features
+from caudal.operators.support import materialize
 from caudal.plans.registry import Query
 from caudal.sources.adapters import Bank
 
@@ -88,9 +89,8 @@ def _model_scores(b: Bank, kind: str, trees: int) -> DataFrame:
 
 def _gap_forecast(b: Bank) -> DataFrame:
     features = liquidity_features(b.resumen_liquidez_diario, b.indicadores_macro)
-    features = features.persist()
-    forecast = models.forecast_gap(models.fit_gap_forecast(features), features)
-    return forecast
+    features = materialize(features)  # one row per day, read by the fit and the forecast
+    return models.forecast_gap(models.fit_gap_forecast(features), features)
 
 
 _SCORES = "id:l target_default:l prediccion:l probabilidad:d"
