@@ -23,6 +23,10 @@ NUMERIC = [
 CATEGORICAL = ["actividad_economica", "nivel_riesgo_interno", "tipo_credito"]
 TARGET = "target_default"
 
+FRAUD_NUMERIC = ["monto_ingreso", "hora_seno", "hora_coseno", "km_de_base"]
+FRAUD_CATEGORICAL = ["canal"]
+FRAUD_TARGET = "es_fraude"
+
 
 def credit_features(
     loans: DataFrame, clients: DataFrame, macro: DataFrame | None = None

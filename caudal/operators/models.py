@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from caudal import constants as K
 from caudal.functions.numeric import double
-from caudal.operators.features import CATEGORICAL, NUMERIC, TARGET, class_weights
+from caudal.operators.features import (
+    CATEGORICAL, FRAUD_CATEGORICAL, FRAUD_NUMERIC, FRAUD_TARGET, NUMERIC, TARGET, class_weights,
+)
 from caudal.operators.support import join_small
 
 WEIGHT = "peso"
@@ -62,12 +64,23 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(parts, spark.sparkContext.defaultParallelism))
 
 
-def fit_pd_model(
-    train: DataFrame,
-    kind: str = "rf",
-    numeric: list[str] = NUMERIC,
-    categorical: list[str] = CATEGORICAL,
-    label: str = TARGET,
+def fit_pd_model(train: DataFrame, kind: str = "rf", trees: int = K.TREES) -> PipelineModel:
+    """Probability of default from the credit features."""
+    return fit_classifier(train, kind, NUMERIC, CATEGORICAL, TARGET, trees)
+
+
+def fit_fraud_model(train: DataFrame, kind: str = "rf", trees: int = K.TREES) -> PipelineModel:
+    """Probability of fraud from the fraud features (with ``without_income`` applied)."""
+    return fit_classifier(train, kind, FRAUD_NUMERIC, FRAUD_CATEGORICAL, FRAUD_TARGET, trees)
+
+
+def without_income(features: DataFrame) -> DataFrame:
+    """Mark the missing income ratio with -1, which trees can tell from every real ratio."""
+    return features.withColumn("monto_ingreso", F.coalesce("monto_ingreso", F.lit(-1.0)))
+
+
+def fit_classifier(
+    train: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str,
     trees: int = K.TREES,
 ) -> PipelineModel:
     """Fit a classifier with balanced class weights on a feature table."""

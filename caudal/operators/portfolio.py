@@ -352,6 +352,17 @@ def instalments_due(loans: DataFrame) -> DataFrame:
     ).select("credito_id", (F.col("n") + 1).alias("cuota_no"), "fecha_cuota")
 
 
+def instalments_due_on(loans: DataFrame, day) -> DataFrame:
+    """Open loans with an instalment on a day: granted by then, on the same day of month."""
+    day = F.lit(day).cast("date")
+    granted = F.col("fecha_otorgamiento")
+    due = (granted <= day) & (F.dayofmonth(granted) == F.dayofmonth(day))
+    open_loans = loans.filter(F.col("estado").isin(*K.OPEN_LOAN))
+    return instalment(open_loans.filter(due)).select(
+        F.col("id").alias("credito_id"), "cliente_id", "cuota_mensual"
+    )
+
+
 def payment_class(payments: DataFrame) -> DataFrame:
     """Payments by class and by the over-90-days mark, both taken from the days late."""
     late = F.col("dias_atraso")

@@ -10,6 +10,7 @@ from caudal.plans.registry import Query, sql_instalment, sql_pct
 
 BAD = "estado in ('Vencido', 'En Litigio')"
 AS_OF = "2024-01-15"
+DUE_DAY = "1999-05-15"
 PRODUCT = "Comercial"  # eligibility is asked for one kind of loan
 
 QUERIES: dict[str, Query] = {
@@ -262,6 +263,15 @@ QUERIES: dict[str, Query] = {
                  from (select distinct id, plazo_meses, fecha_otorgamiento from creditos))
            where day(d)=day(f) qualify cuota_no<=plazo_meses""",
     ),
+    "instalments_due_on": Query(
+        "credito_id:l cliente_id:l cuota_mensual:d6",
+        lambda b: P.instalments_due_on(b.creditos, DUE_DAY),
+        "creditos",
+        f"""select id credito_id, cliente_id, {sql_instalment()} cuota_mensual from creditos
+            where estado not in ('Pagado', 'En Litigio')
+              and day(fecha_otorgamiento)=day(date '{DUE_DAY}')
+              and fecha_otorgamiento<=date '{DUE_DAY}'""",
+    ),
     "payment_class": Query(
         "estado_pago:t mora_mayor_90:l pagos:l min_dias:l max_dias:l",
         lambda b: P.payment_class(b.pagos_creditos),

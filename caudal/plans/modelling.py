@@ -87,6 +87,12 @@ def _model_scores(b: Bank, kind: str, trees: int) -> DataFrame:
     return models.score(models.fit_pd_model(train, kind, trees=trees), test)
 
 
+def _fraud_scores(b: Bank) -> DataFrame:
+    features = X.fraud_features(b.transacciones, b.cuentas, b.clientes, b.centroides)
+    train, test = X.train_test_split(models.without_income(features))
+    return models.score(models.fit_fraud_model(train, trees=20), test, X.FRAUD_TARGET)
+
+
 def _gap_forecast(b: Bank) -> DataFrame:
     features = liquidity_features(b.resumen_liquidez_diario, b.indicadores_macro)
     features = materialize(features)  # one row per day, read by the fit and the forecast
@@ -221,6 +227,9 @@ QUERIES: dict[str, Query] = {
     "rf_scores": Query(_SCORES, lambda b: _model_scores(b, "rf", 100)),
     "lr_scores": Query(_SCORES, lambda b: _model_scores(b, "lr", 0)),
     "gbt_scores": Query(_SCORES, lambda b: _model_scores(b, "gbt", 10)),
+    "fraud_scores": Query(
+        "id:l es_fraude:l prediccion:l probabilidad:d", _fraud_scores
+    ),
     "gap_forecast": Query(
         "fecha:f brecha_liquidez_usd:d pronostico_usd:d", _gap_forecast
     ),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from caudal.sources.schemas import SCHEMAS
 
@@ -35,6 +37,33 @@ def recreate(df: DataFrame, folder: str, name: str, partition_by: str | None = N
     _writer(df, "overwrite", partition_by).parquet(f"{folder}/{name}")
 
 
+LEDGER_DAY = "fecha"
+
+
+def save_ledger(tx: DataFrame, folder: str, name: str = "transacciones") -> None:
+    """Write the ledger in one folder per event date.
+
+    Rebalancing gathers the rows of a date into files of even size: small dates share a task
+    and a date with very many rows is split over several.
+    """
+    dated = tx.withColumn(LEDGER_DAY, F.to_date("fecha_hora")).hint("rebalance", LEDGER_DAY)
+    dated.write.mode("overwrite").partitionBy(LEDGER_DAY).parquet(f"{folder}/{name}")
+
+
+def load_ledger(
+    spark: SparkSession, folder: str, first=None, last=None, name: str = "transacciones"
+) -> DataFrame:
+    """The ledger of some dates; only their folders are read."""
+    columns = SCHEMAS["transacciones"].fields
+    dated = StructType([*columns, StructField(LEDGER_DAY, DateType())])
+    df = spark.read.schema(dated).parquet(f"{folder}/{name}")
+    if first is not None:
+        df = df.filter(F.col(LEDGER_DAY) >= F.lit(first).cast("date"))
+    if last is not None:
+        df = df.filter(F.col(LEDGER_DAY) <= F.lit(last).cast("date"))
+    return df.drop(LEDGER_DAY)
+
+
 def _writer(df: DataFrame, mode: str, partition_by: str | None):
     writer = df.write.mode(mode)
     return writer.partitionBy(partition_by) if partition_by else writer

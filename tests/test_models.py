@@ -111,6 +111,16 @@ def test_scoring_models(credit, kind):
     assert auc > 0.9
 
 
+def test_fraud_model_finds_night_frauds(spark):
+    b = Bank(spark, "/root/testdata/sf0.01")
+    table = models.without_income(
+        features.fraud_features(b.transacciones, b.cuentas, b.clientes, b.centroides))
+    train, test = features.train_test_split(table)
+    scores = models.score(models.fit_fraud_model(train, trees=10), test, "es_fraude")
+    assert scores.count() == test.count()
+    assert one(metrics.auc_gini(scores, "es_fraude", "probabilidad"))["auc"] > 0.9
+
+
 def test_gap_forecast_beats_nothing(spark):
     b = Bank(spark, "/root/testdata/sf0.001")
     table = liquidity_features(b.resumen_liquidez_diario, b.indicadores_macro)

@@ -89,6 +89,21 @@ def test_append_recreate_and_load(spark, bank, tmp_path):
     assert T.load(spark, folder, "creditos").count() == 1
 
 
+def test_ledger_folders_by_day(spark, make, tmp_path):
+    days = [dt.datetime(2024, 1, d, 23, 59) for d in (1, 2, 2, 3)]
+    tx = make("transacciones", *[dict(id=n, fecha_hora=t) for n, t in enumerate(days)])
+    T.save_ledger(tx, str(tmp_path))
+    assert {p.name for p in (tmp_path / "transacciones").glob("fecha=*")} == {
+        "fecha=2024-01-01", "fecha=2024-01-02", "fecha=2024-01-03"}
+    whole = T.load_ledger(spark, str(tmp_path))
+    assert sorted(whole.collect()) == sorted(tx.collect()) and whole.columns == tx.columns
+    part = T.load_ledger(spark, str(tmp_path), "2024-01-02", "2024-01-02")
+    assert sorted(r["id"] for r in part.collect()) == [1, 2]
+    plan = part._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(fecha" in plan
+
+
 def test_warehouse_tables(spark, bank):
     report = {r["tabla"]: r["filas"] for r in dicts(export.export_warehouse(bank))}
     assert report == {name: 1 for name in TABLES}

@@ -65,6 +65,15 @@ def test_instalments_skip_short_months(make):
     assert due[3] == [D(2023, 1, 29), D(2023, 3, 29), D(2023, 4, 29)]
 
 
+def test_instalments_due_on_a_day(make):
+    loans = make(
+        "creditos", dict(id=1), dict(id=2, estado="Vencido"), dict(id=3, estado="En Litigio"),
+        dict(id=4, estado="Pagado"), dict(id=5, fecha_otorgamiento=D(2024, 1, 11)),
+        dict(id=6, fecha_otorgamiento=D(2024, 3, 10)))
+    due = portfolio.instalments_due_on(loans, "2024-02-10")
+    assert sorted(r["credito_id"] for r in due.collect()) == [1, 2]
+
+
 def test_loan_summary(make):
     loans = make("creditos", dict(id=1), dict(id=2, plazo_meses=1, cuotas_totales=1),
                  dict(id=3))
