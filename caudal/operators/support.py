@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caudal.functions.calendar import minute_number
 
-HEAVY_ROWS = 1_000_000
+HEAVY_ROWS = 10_000_000  # about what one task should sort and stream
 BROADCAST_ROWS = 500_000
 
 
