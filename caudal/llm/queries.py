@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from caudal.llm.bpe import bpe_tokens
 from caudal.llm.token_counts import token_counts
 
 
@@ -14,12 +15,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_tokens(
+        table(spark, folder, "documents"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(table(spark, folder, "documents"), model, limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bpe": op6_bpe,
     "op9_token_counts": op9_token_counts,
 }
 
