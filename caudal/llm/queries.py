@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from caudal.llm.bpe import bpe_tokens
+from caudal.llm.simhash import simhash_groups
 from caudal.llm.token_counts import token_counts
 
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents"), shingle=4, distance=4)
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_tokens(
         table(spark, folder, "documents"),
@@ -29,6 +34,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op6_bpe": op6_bpe,
     "op9_token_counts": op9_token_counts,
 }
