@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from caudal.llm.bpe import bpe_tokens
+from caudal.llm.quality import decide, ledger
+from caudal.llm.secrets import scan
 from caudal.llm.simhash import simhash_groups
 from caudal.llm.token_counts import token_counts
 
@@ -20,6 +22,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), shingle=4, distance=4)
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return decide(ledger(table(spark, folder, "documents")))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_tokens(
         table(spark, folder, "documents"),
@@ -28,6 +34,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents")).drop("found")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(table(spark, folder, "documents"), model, limit=4096)
@@ -35,7 +45,9 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_secrets": op7_secrets,
     "op9_token_counts": op9_token_counts,
 }
 
