@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caudal.llm.bpe import bpe_tokens
+from caudal.llm.mixing import kind_of_text, mix
 from caudal.llm.quality import decide, ledger
 from caudal.llm.secrets import scan
+from caudal.llm.sharding import shards
 from caudal.llm.simhash import simhash_groups
 from caudal.llm.token_counts import token_counts
 
@@ -22,6 +25,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), shingle=4, distance=4)
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shards(table(spark, folder, "documents"), n_shards=8)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return decide(ledger(table(spark, folder, "documents")))
 
@@ -38,6 +45,24 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents")).drop("found")
 
 
+#: Sources nearer to each other than they are, languages as wished, topics as they are.
+MIXING_TARGETS = {
+    "source": 0.5,
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+    "topic": 1.0,
+}
+
+
+def mixing_dimensions() -> dict[str, Column]:
+    return {
+        "source": F.col("source"), "lang": F.col("lang"), "topic": kind_of_text(F.col("text")),
+    }
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), MIXING_TARGETS, mixing_dimensions())
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(table(spark, folder, "documents"), model, limit=4096)
@@ -45,9 +70,11 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
 }
 
