@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.llm.bpe import bpe_tokens
+from caudal.llm.embedding_dedup import embedding_groups
 from caudal.llm.mixing import kind_of_text, mix
 from caudal.llm.quality import decide, ledger
 from caudal.llm.secrets import scan
@@ -25,6 +26,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), shingle=4, distance=4)
 
 
+def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_groups(table(spark, folder, "embeddings"), cosine=0.93)
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards(table(spark, folder, "documents"), n_shards=8)
 
@@ -70,6 +75,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
