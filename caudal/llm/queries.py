@@ -15,6 +15,7 @@ from caudal.llm.quality import decide, ledger
 from caudal.llm.secrets import scan
 from caudal.llm.sharding import shards
 from caudal.llm.simhash import simhash_groups
+from caudal.llm.substring_dedup import remove_repeats
 from caudal.llm.token_counts import token_counts
 
 
@@ -22,6 +23,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), window=50)
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), shingle=4, distance=4)
 
@@ -74,6 +79,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
     "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
