@@ -136,9 +136,12 @@ def ledger(
         (F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)),
         F.lit(0),
     )
+    # A filter on the bits must not be pushed below the measurements: it would evaluate the word
+    # list anew for every window. Conditions on a non-deterministic column stay where they are.
+    settled = F.when(F.monotonically_increasing_id() >= 0, bits.cast("long"))
     return measured.select(
         F.col("_id").alias(id_col), *[F.col(f"_carry.`{c}`") for c in carry],
-        *MEASURES, bits.cast("long").alias("fail_bits"),
+        *MEASURES, settled.alias("fail_bits"),
     )
 
 

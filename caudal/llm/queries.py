@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caudal.llm.bpe import bpe_tokens
 from caudal.llm.embedding_dedup import embedding_groups
+from caudal.llm.maxent_lm import scores
 from caudal.llm.mixing import kind_of_text, mix
 from caudal.llm.quality import decide, ledger
 from caudal.llm.secrets import scan
@@ -78,6 +79,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), model, limit=4096)
 
 
+def op10_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    return scores(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_maxent": op10_maxent,
 }
 
 ORACLE_SQL: dict[str, str] = {}

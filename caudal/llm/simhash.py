@@ -172,3 +172,27 @@ def simhash_groups(
     return prints.join(labels, "print").select(
         id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    shingle: int = 4,
+    distance: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with one of each group: the smallest id, rows without an id last.
+
+    Rows are told apart by their id and a hash of all columns, so repeated rows end as one.
+    """
+    ident = F.col(f"`{id_col}`")
+    key = F.struct(
+        ident.isNull().alias("none"),
+        F.coalesce(ident, F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"),
+    )
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(f"`{text_col}`").alias("text"),
+                        key.alias("key"))
+    groups = simhash_groups(keyed, shingle, distance, "key", "text")
+    kept = stored(groups.filter("key = component_id").select("key").distinct(), "kept")
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
