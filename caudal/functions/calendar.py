@@ -60,12 +60,6 @@ def maturity(start: Column, months: Column) -> Column:
     return F.date_add(start, (months * K.DAYS_PER_MONTH).cast("int"))
 
 
-def minute_number(time: Column) -> Column:
-    """Minutes since 1970 on the wall clock (a date counts as its midnight)."""
-    days = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 1440 + F.hour(time) * 60 + F.minute(time)
-
-
 def day_range(first_last: DataFrame, first: str, last: str, name: str = "fecha") -> DataFrame:
     """Every day between two date columns of a frame, both ends included."""
     return first_last.select(F.explode(F.sequence(F.col(first), F.col(last))).alias(name))

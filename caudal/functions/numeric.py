@@ -19,9 +19,14 @@ def double(c: Column) -> Column:
 
 
 def round_half_up(x: Column, digits: int) -> Column:
-    """Round on the stored double value, ties upwards: the same in every engine."""
+    """Round on the stored double value, ties upwards: the same in every engine.
+
+    ``floor`` gives a whole number of 64 bits, so it is used only where it fits; from 2**52 on
+    a double has no fraction to cut off.
+    """
     scale = num(10.0**digits)
-    return F.floor(double(x) * scale + num(0.5)) / scale
+    shifted = double(x) * scale + num(0.5)
+    return F.when(F.abs(shifted) < num(2.0**52), double(F.floor(shifted))).otherwise(shifted) / scale
 
 
 def share(a: Column, b: Column) -> Column:

@@ -15,7 +15,7 @@ from caudal.functions.numeric import (
 )
 from caudal.functions.text import coordinates, full_name
 from caudal.operators.portfolio import instalment, preferred_account
-from caudal.operators.support import HEAVY_ROWS, join_small, running_totals
+from caudal.operators.support import join_small, running_totals
 
 
 def _fraud() -> Column:
@@ -195,12 +195,11 @@ def fraud_rule(tx: DataFrame, accounts: DataFrame, clients: DataFrame) -> DataFr
     )
 
 
-def amount_vs_history(tx: DataFrame, limit: int = HEAVY_ROWS) -> DataFrame:
+def amount_vs_history(tx: DataFrame, parts: int | None = None) -> DataFrame:
     """Each amount against the mean of the account's earlier amounts (null for the first)."""
     rows = tx.select("id", "cuenta_id", "fecha_hora", "monto_usd")
     upto = running_totals(
-        rows, "cuenta_id", "fecha_hora", ["fecha_hora", "id"],
-        {"n": F.lit(1), "suma": _usd()}, limit,
+        rows, "cuenta_id", ["fecha_hora", "id"], {"n": F.lit(1), "suma": _usd()}, parts
     )
     before = F.col("n") - 1
     mean = double(F.col("suma") - _usd()) / before
@@ -239,11 +238,13 @@ def _movement():
     return F.when(_done(), amount).otherwise(F.lit(0)).cast("decimal(18,2)")
 
 
-def running_balance(tx: DataFrame, accounts: DataFrame, limit: int = HEAVY_ROWS) -> DataFrame:
+def running_balance(
+    tx: DataFrame, accounts: DataFrame, parts: int | None = None
+) -> DataFrame:
     """Balance after each row: opening balance plus completed movements so far."""
     rows = tx.select("id", "cuenta_id", "fecha_hora", _movement().alias("mov"))
     upto = running_totals(
-        rows, "cuenta_id", "fecha_hora", ["fecha_hora", "id"], {"acumulado": F.col("mov")}, limit
+        rows, "cuenta_id", ["fecha_hora", "id"], {"acumulado": F.col("mov")}, parts
     )
     opening = accounts.select(F.col("id").alias("cuenta_id"), "saldo_actual")
     return upto.join(opening, "cuenta_id").select(

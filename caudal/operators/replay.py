@@ -4,13 +4,13 @@ A debit passes when the balance covers it, else it is rejected; deposits always
 debit that is covered but was lost in a failure stays failed and moves nothing. Each
 decision depends on all before it, so an account is replayed in time order.
 
-Ordinary accounts are streamed through a sorted partition. An account with more than
-``limit`` rows is cut into slices of time that are replayed in parallel, each from an
-assumed starting balance. A slice replayed from one balance gives the same decisions for a
-whole range of balances around it, and adds the same amount over that range. Walking the
-slices of the account with those ranges either finds the true starting balance of every
-slice, or names the slices still to be replayed. The result is exact; every round settles
-at least one slice more.
+The ledger is cut into slices of about equal size that follow account and time, so an
+account with very many rows, or very many at one moment, is spread over slices. Within a slice
+rows are streamed and only the running balance is kept. Where an account goes on in a further
+slice, that slice is replayed from an assumed balance. It then gives the same decisions for a
+whole range of balances around it, and adds the same amount over that range. Walking an account's
+slices with those ranges either finds the true starting balance of every slice, or names the
+slices still to be replayed. The result is exact; every round settles at least one slice more.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caudal import constants as K
 from caudal.functions.rules import is_deposit
-from caudal.operators.support import HEAVY_ROWS, heavy_keys, materialize, time_slice
+from caudal.operators.support import join_small, materialize, ordered_slices
 
 FAR = 2**62
 START, DEPOSIT, DEBIT, LOST = 0, 1, 2, 3
@@ -35,11 +35,11 @@ _ROWS = (
 )
 _DECIDED = "id long, cuenta_id long, decision int, centavos_saldo long, codigo_error string"
 _RANGES = "cuenta_id long, _tramo long, desde long, hasta long, cambio long"
-_STARTS = "cuenta_id long, _tramo long, inicio long, seguro boolean"
+_STARTS = "cuenta_id long, _tramo long, inicio long, seguro boolean, fijo boolean"
 
 
 def authorization_replay(
-    tx: DataFrame, accounts: DataFrame, amount: str = "monto", limit: int = HEAVY_ROWS
+    tx: DataFrame, accounts: DataFrame, amount: str = "monto", parts: int | None = None
 ) -> DataFrame:
     """Ledger rows with their replayed state, error code and balance afterwards.
 
@@ -54,18 +54,22 @@ def authorization_replay(
         "cuenta_id", "fecha_hora", "id", step.alias("paso"), _cents(amount), "codigo_error"
     )
     openings = accounts.select(F.col("id").alias("cuenta_id"), _cents("saldo_actual"))
-    heavy = heavy_keys(tx, "cuenta_id", limit)
-    if heavy is None:
-        rows = rows.withColumn("_tramo", F.lit(0).cast("long"))
-        starts = _as_start(openings.withColumn("_tramo", F.lit(0).cast("long")))
-    else:
-        rows = time_slice(rows, "cuenta_id", "fecha_hora", heavy)
-        large = rows.filter("_pesada").select(*_names(_ROWS))
-        settled = _settle(materialize(large), openings.join(heavy, "cuenta_id"))
-        light = openings.join(heavy, "cuenta_id", "left_anti")
-        starts = _as_start(light.withColumn("_tramo", F.lit(0).cast("long"))).unionByName(
-            _as_start(settled.withColumnRenamed("inicio", "centavos"))
+    rows = ordered_slices(rows, ["cuenta_id", "fecha_hora", "id"], parts)
+    spans = materialize(
+        rows.groupBy("cuenta_id").agg(
+            F.min("_tramo").alias("_primero"), F.max("_tramo").alias("_ultimo")
         )
+    )
+    opened = spans.join(openings, "cuenta_id", "left").fillna(0, ["centavos"])
+    starts = _as_start(opened.withColumn("_tramo", F.col("_primero")))
+    # a slice has one account at most that goes on in the next, so these are few
+    crossing = materialize(opened.filter("_primero < _ultimo"))
+    if not crossing.isEmpty():
+        settled = _settle(join_small(rows, crossing.select("cuenta_id"), "cuenta_id"), crossing)
+        later = settled.join(crossing.select("cuenta_id", "_primero"), "cuenta_id").filter(
+            "_tramo > _primero"
+        )
+        starts = starts.unionByName(_as_start(later.withColumnRenamed("inicio", "centavos")))
     decided = _sorted(rows.select(*_names(_ROWS)).unionByName(starts)).mapInPandas(
         _decide, _DECIDED
     )
@@ -176,9 +180,11 @@ def _walk(ranges: pd.DataFrame) -> pd.DataFrame:
     slices: dict[int, list[tuple]] = {}
     for part, low, high, change in zip(*columns):
         slices.setdefault(part, []).append((low, high, change))
+    exact = True  # so far no guess, so the starting balance is the true one
     for part, known in slices.items():
         covering = [change for low, high, change in known if low <= balance < high]
-        starts.append((account, part, balance, bool(covering)))
+        starts.append((account, part, balance, bool(covering), exact and bool(covering)))
+        exact = exact and bool(covering)
         if covering:
             balance += covering[0]
         else:  # a guess for the next round: the change seen nearest to this balance
@@ -187,11 +193,12 @@ def _walk(ranges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(starts, columns=_names(_STARTS))
 
 
-def _settle(rows: DataFrame, openings: DataFrame) -> DataFrame:
-    """True starting balance of every slice of the heavy accounts.
+def _settle(rows: DataFrame, crossing: DataFrame) -> DataFrame:
+    """True starting balance of every slice of the accounts that span several.
 
-    The walk sees one row per known range: slices are minutes, so their number is bounded
-    by the length of the history and not by the number of ledger rows.
+    Slices settled from the front are put aside with their ranges, and the account goes on from
+    the balance found there. That slice is replayed from its true balance next, so an account
+    needs no more rounds than it has slices.
     """
     net = (
         F.when(F.col("paso") == DEPOSIT, F.col("centavos"))
@@ -203,17 +210,27 @@ def _settle(rows: DataFrame, openings: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("hasta"),
         F.sum(net).alias("cambio"),
     )
-    opening = openings.select("cuenta_id", F.col("centavos").alias("apertura"))
+    rounds = crossing.agg(F.max(F.col("_ultimo") - F.col("_primero"))).first()[0] + 3
+    opening = crossing.select("cuenta_id", F.col("centavos").alias("apertura"))
     ranges = materialize(nothing_known)
-    while True:
-        carried = ranges.join(opening, "cuenta_id", "left").fillna(0, ["apertura"])
+    done = None
+    for _ in range(rounds):
+        carried = ranges.join(opening, "cuenta_id")
         starts = materialize(carried.groupBy("cuenta_id").applyInPandas(_walk, _STARTS))
-        unsure = starts.filter(~F.col("seguro")).drop("seguro")
-        if unsure.isEmpty():
-            return starts.drop("seguro")
-        again = rows.join(unsure.select("cuenta_id", "_tramo"), ["cuenta_id", "_tramo"])
+        fixed = starts.filter("fijo").select("cuenta_id", "_tramo", "inicio")
+        done = fixed if done is None else done.unionByName(fixed)
+        open_ = starts.filter("not fijo")
+        if open_.isEmpty():
+            return done
+        unsure = open_.filter("not seguro").select("cuenta_id", "_tramo", "inicio")
+        again = join_small(rows, unsure.select("cuenta_id", "_tramo"), ["cuenta_id", "_tramo"])
         heads = _as_start(unsure.withColumnRenamed("inicio", "centavos"))
         measured = _sorted(again.select(*_names(_ROWS)).unionByName(heads)).mapInPandas(
             _measure, _RANGES
         )
-        ranges = materialize(ranges.unionByName(measured))
+        left = ranges.join(open_.select("cuenta_id", "_tramo"), ["cuenta_id", "_tramo"])
+        ranges = materialize(left.select(*_names(_RANGES)).unionByName(measured))
+        opening = materialize(
+            open_.groupBy("cuenta_id").agg(F.min_by("inicio", "_tramo").alias("apertura"))
+        )
+    raise RuntimeError("the replay did not settle")

@@ -1,4 +1,4 @@
-"""Shared building blocks: safe cut of lineage, checked small joins, heavy keys."""
+"""Shared building blocks: safe cut of lineage, checked small joins, slices of ordered rows."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caudal.functions.calendar import minute_number
-
-HEAVY_ROWS = 10_000_000  # about what one task should sort and stream
 BROADCAST_ROWS = 500_000
 
 
@@ -49,62 +46,47 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataF
     return df.join(side, on, how)
 
 
-def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None; counting is map-side combined."""
-    heavy = df.groupBy(key).count().filter(F.col("count") > limit).select(key)
-    if heavy.isEmpty():
-        return None
-    heavy = materialize(heavy)
-    return F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
-
+def ordered_slices(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Store the rows in slices of about equal size that follow ``order``; add ``_tramo``.
 
-def time_slice(df: DataFrame, key: str, time: str, heavy: DataFrame) -> DataFrame:
-    """Add ``_tramo``: the minute for heavy keys, 0 for all others.
-
-    One heavy key is thus spread over as many tasks as its history has minutes, and the
-    slices of a key keep the order of time.
+    A slice is a range of the whole order, so a key or a moment with very many rows is split,
+    and the slices of a key have rising numbers. Ranges are drawn anew on every run, hence the
+    store. ``parts`` is a hint of layout; without it Spark's shuffle partitions hold.
     """
-    marked = df.join(heavy.withColumn("_pesada", F.lit(True)), key, "left")
-    tramo = F.when(F.col("_pesada"), minute_number(F.col(time))).otherwise(F.lit(0))
-    return marked.withColumn("_tramo", tramo.cast("long"))
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return materialize(ranged.withColumn("_tramo", F.spark_partition_id().cast("long")))
 
 
 def running_totals(
     df: DataFrame,
     key: str,
-    time: str,
     order: list[str],
     totals: dict[str, Column],
-    limit: int = HEAVY_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Running sums within each key, the current row included.
+    """Running sums within each key, the current row included; ``order`` is unique in a key.
 
-    Without heavy keys this is one window. With them, each heavy key is summed slice by
-    slice; the slice totals (at most one row per minute of history) are accumulated apart
-    and added back, so no task ever holds a heavy key.
+    Rows are summed within the slices of ``ordered_slices``. A key that goes on in a further
+    slice gets the totals of its earlier slices added there; each slice has one such key at
+    most, so this list is no longer than the slices are many.
     """
-    heavy = heavy_keys(df, key, limit)
-    if heavy is None:
-        upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(upto) for n, c in totals.items()})
-
-    sliced = time_slice(df, key, time, heavy)
-    per_slice = (
-        sliced.filter("_pesada").groupBy(key, "_tramo")
-        .agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    sliced = ordered_slices(df, [key, *order], parts)
+    per_slice = sliced.groupBy(key, "_tramo").agg(
+        *[F.sum(c).alias(f"_{n}") for n, c in totals.items()]
     )
     before = (
         Window.partitionBy(key).orderBy("_tramo").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = per_slice.select(
-        key, "_tramo", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in totals]
-    )
+    carried = per_slice.select(
+        key, "_tramo", F.lag("_tramo").over(Window.partitionBy(key).orderBy("_tramo")).alias("_de"),
+        *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in totals],
+    ).filter("_de is not null").drop("_de")
     inside = (
-        Window.partitionBy(key, "_tramo").orderBy(*order)
+        Window.partitionBy("_tramo", key).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     summed = sliced.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()})
-    joined = summed.join(offsets, [key, "_tramo"], "left")
+    joined = join_small(summed, carried, [key, "_tramo"], "left")
     whole = {
         n: (F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).cast(summed.schema[n].dataType)
         for n in totals

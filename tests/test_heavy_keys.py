@@ -1,4 +1,4 @@
-"""Heavy keys: with a tiny limit every account is cut into slices, and nothing may change."""
+"""Heavy keys: however many slices the rows are cut into, nothing may change."""
 
 import datetime as dt
 import random
@@ -49,12 +49,13 @@ def replay_by_hand(rows, opening):
     return out
 
 
-@pytest.mark.parametrize("seed, minutes, limit", [(1, 60, 10), (2, 300, 50), (3, 5, 1), (4, 60, 10**6)])
-def test_replay_equals_brute_force(make, seed, minutes, limit):
+# (.., 0, ..): account 1 has two thirds of all rows, all in one minute
+@pytest.mark.parametrize("seed, minutes, parts", [(1, 60, 40), (2, 300, 12), (3, 0, 60), (4, 60, 1)])
+def test_replay_equals_brute_force(make, seed, minutes, parts):
     rng = random.Random(seed)
     rows = ledger_rows(rng, 600, 6, minutes)
     accounts = [dict(id=a, saldo_actual=200) for a in range(1, 6)]  # account 6 opens with nothing
-    got = authorization_replay(make("transacciones", *rows), make("cuentas", *accounts), limit=limit)
+    got = authorization_replay(make("transacciones", *rows), make("cuentas", *accounts), parts=parts)
     got = {r["id"]: (r["estado"], r["codigo_error"], round(r["saldo"] * 100)) for r in dicts(got)}
     assert got == replay_by_hand(rows, {a: 20000 for a in range(1, 6)})
     assert {s for s, _, _ in got.values()} == {"Completada", "Rechazada", "Fallida"}
@@ -65,7 +66,7 @@ def test_replay_of_an_account_that_is_always_short(make):
     rng = random.Random(9)
     rows = ledger_rows(rng, 300, 2, 30, sizes=(300, 900))
     accounts = [dict(id=a, saldo_actual=0) for a in (1, 2)]
-    got = authorization_replay(make("transacciones", *rows), make("cuentas", *accounts), limit=20)
+    got = authorization_replay(make("transacciones", *rows), make("cuentas", *accounts), parts=25)
     got = {r["id"]: (r["estado"], r["codigo_error"], round(r["saldo"] * 100)) for r in dicts(got)}
     assert got == replay_by_hand(rows, {1: 0, 2: 0})
 
@@ -75,14 +76,29 @@ def same(plain, sliced):
     assert key(plain.collect()) == key(sliced.collect())
 
 
-def test_running_figures_do_not_depend_on_the_limit(spark):
+def test_running_figures_do_not_depend_on_the_slices(spark):
     b = Bank(spark, "/root/testdata/sf0.001")
     same(ledger.running_balance(b.transacciones, b.cuentas),
-         ledger.running_balance(b.transacciones, b.cuentas, limit=5))
+         ledger.running_balance(b.transacciones, b.cuentas, parts=50))
     same(ledger.amount_vs_history(b.transacciones),
-         ledger.amount_vs_history(b.transacciones, limit=5))
+         ledger.amount_vs_history(b.transacciones, parts=50))
     same(authorization_replay(b.transacciones, b.cuentas),
-         authorization_replay(b.transacciones, b.cuentas, limit=6))
+         authorization_replay(b.transacciones, b.cuentas, parts=60))
+
+
+def test_running_balance_of_one_account_in_one_minute(make):
+    rng = random.Random(5)
+    rows = ledger_rows(rng, 400, 6, 0)
+    got = ledger.running_balance(make("transacciones", *rows),
+                                 make("cuentas", *[dict(id=a, saldo_actual=7) for a in range(1, 7)]),
+                                 parts=30)
+    expected, balance = {}, {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        cents = round(r["monto"] * 100) * (1 if r["tipo_transaccion"] == "Deposito Taquilla" else -1)
+        a = r["cuenta_id"]
+        balance[a] = balance.get(a, 700) + (cents if r["estado"] == "Completada" else 0)
+        expected[r["id"]] = balance[a]
+    assert {r["id"]: round(r["saldo"] * 100) for r in dicts(got)} == expected
 
 
 def test_instalments_of_one_day_are_all_numbered(make):

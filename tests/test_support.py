@@ -33,18 +33,21 @@ def test_small_side_is_broadcast_and_large_side_is_not(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_heavy_keys_need_no_broadcast(spark, monkeypatch):
+def test_running_totals_need_no_broadcast(spark, monkeypatch):
     b = Bank(spark, "/root/testdata/sf0.001")
     key = lambda df: sorted(tuple(r) for r in df.collect())
     expected = key(running_balance(b.transacciones, b.cuentas))
     monkeypatch.setattr(support, "BROADCAST_ROWS", 0)
-    assert key(running_balance(b.transacciones, b.cuentas, limit=5)) == expected
+    assert key(running_balance(b.transacciones, b.cuentas, parts=20)) == expected
 
 
-def test_no_key_is_heavy_below_the_limit(spark):
-    df = spark.range(10).selectExpr("id % 2 as k")
-    assert support.heavy_keys(df, "k", 5) is None
-    assert {r["k"] for r in support.heavy_keys(df.unionAll(df.filter("k = 1")), "k", 5).collect()} == {1}
+def test_slices_split_a_key_and_follow_the_order(spark):
+    df = spark.range(1000).selectExpr("id % 3 < 2 as k", "id")
+    rows = support.ordered_slices(df, ["k", "id"], 10).collect()
+    assert len({r["_tramo"] for r in rows if r["k"]}) > 3
+    for k in (True, False):
+        part = sorted((r["_tramo"], r["id"]) for r in rows if r["k"] == k)
+        assert [i for _, i in part] == sorted(i for _, i in part)
 
 
 def test_levels_fill_gaps_up_to_the_next_one(spark):
