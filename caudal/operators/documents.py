@@ -53,16 +53,23 @@ def kpi_document(
 
 
 def macro_document(macro: DataFrame) -> DataFrame:
-    return _document(macro, series=_many(Q.macro_monthly(macro), "mes"))
+    """A plain list of months."""
+    months = _many(Q.macro_monthly(macro), "mes")
+    return macro.sparkSession.range(1).select(F.to_json(months).alias("documento"))
 
 
 def credit_document(loans: DataFrame, clients: DataFrame, payments: DataFrame) -> DataFrame:
     return _document(
         loans,
-        scores=_many(P.default_by_score_band(loans, clients), "rango"),
+        scores=F.reverse(_many(P.default_by_score_band(loans, clients), "rango")),
         cartera_tipo=_many(P.portfolio_by_type_status(loans), "tipo", "estado"),
-        evolucion_morosidad=_many(P.delinquency_monthly(payments), "mes"),
-        actividad_economica=_many(P.default_by_activity(loans, clients), "actividad"),
+        evolucion_morosidad=_many(
+            P.delinquency_monthly(payments).drop("mora_mayor_90", "tasa_mora_mayor_90"), "mes"
+        ),
+        actividad_economica=_many(
+            P.default_by_activity(loans, clients).withColumnRenamed("total", "total_prestamos"),
+            "actividad",
+        ),
     )
 
 
@@ -94,7 +101,7 @@ def operational_document(
             "fecha_hora": F.date_format("fecha_hora", "yyyy-MM-dd HH:mm:ss"),
         }
     )
-    listing = F.transform(F.col("frauds"), lambda row: row.dropFields("orden"))
+    listing = F.transform(F.col("frauds"), lambda row: row.dropFields("orden", "id"))
     return lists.withColumn("frauds", _many(frauds, "orden", "id")).select(
         F.to_json(F.struct(*lists.columns, listing.alias("listado_fraudes"))).alias("documento")
     )

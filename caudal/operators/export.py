@@ -12,14 +12,23 @@ from caudal import constants as K
 from caudal.functions.text import sql_literal
 from caudal.operators.quality import row_counts
 from caudal.operators.support import join_small, materialize
+from caudal.sources.tables import CSV_WRITING
 
 Tables = dict[str, DataFrame]
+CSV_ROWS = 1_000_000
 
 
-def export_csv(tables: Tables, folder: str) -> None:
-    """Every table as CSV parts with a header line, in a folder of its name."""
+def export_csv(tables: Tables, folder: str, rows_per_file: int = CSV_ROWS) -> None:
+    """Every table as CSV parts with a header line, in a folder of its name.
+
+    Quotes are doubled, spaces and line breaks kept; a null is nothing, an empty text is ``""``.
+    Texts with line breaks make a file unsplittable, so files are kept small.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        (
+            df.write.mode("overwrite").options(**CSV_WRITING)
+            .option("maxRecordsPerFile", rows_per_file).csv(f"{folder}/{name}")
+        )
 
 
 def warehouse_shape(df: DataFrame) -> DataFrame:
@@ -36,8 +45,8 @@ def export_warehouse(tables: Tables, mode: str = "overwrite") -> DataFrame:
     """Save every table in warehouse shape as a catalog table and report its rows."""
     saved = {}
     for name, df in tables.items():
-        warehouse_shape(df).write.mode(mode).saveAsTable(name)
-        saved[name] = df.sparkSession.table(name)
+        warehouse_shape(df).write.mode(mode).saveAsTable(name.upper())
+        saved[name] = df.sparkSession.table(name.upper())
     return row_counts(saved)
 
 

@@ -250,7 +250,7 @@ def treasury_operations(
         "entidad",
         "fecha",
         F.when(funding, K.FUNDING).otherwise(K.INVESTING[1]).alias("tipo_operacion"),
-        F.coalesce("fondeo_usd", "inversion_usd").alias("monto_usd"),
-        rate.alias("tasa_anual"),
+        round_half_up(F.coalesce("fondeo_usd", "inversion_usd"), 2).alias("monto_usd"),
+        round_half_up(rate, 2).alias("tasa_anual"),
         F.when(funding, 1).cast("int").alias("plazo_dias"),
     )

@@ -57,13 +57,6 @@ def classifier(kind: str, label: str = TARGET, trees: int = K.TREES):
     raise ValueError(f"unknown model: {kind}")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Even parts for at least every core: training passes over the rows many times."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(parts, spark.sparkContext.defaultParallelism))
-
-
 def fit_pd_model(train: DataFrame, kind: str = "rf", trees: int = K.TREES) -> PipelineModel:
     """Probability of default from the credit features."""
     return fit_classifier(train, kind, NUMERIC, CATEGORICAL, TARGET, trees)
@@ -85,7 +78,8 @@ def fit_classifier(
 ) -> PipelineModel:
     """Fit a classifier with balanced class weights on a feature table."""
     numbers = [double(F.col(c)).alias(c) for c in numeric]
-    rows = _spread(weighted(train.select(*numbers, *categorical, label), label)).persist()
+    # parts of even size, as many as the rows need: training passes over them many times
+    rows = weighted(train.select(*numbers, *categorical, label), label).hint("rebalance").persist()
     try:
         stages = [*_preparation(numeric, categorical), classifier(kind, label, trees)]
         return Pipeline(stages=stages).fit(rows)

@@ -233,7 +233,7 @@ def risk_tier(clients: DataFrame) -> DataFrame:
 
 
 def loan_eligible(clients: DataFrame, loans: DataFrame, day) -> DataFrame:
-    """Clients who may borrow on a day: the rule holds and no loan of theirs is open."""
+    """Clients who may borrow on a day: the rule holds and no loan granted by then is open."""
     day = F.lit(day).cast("date")
     fit = clients.filter(
         rules.can_borrow(
@@ -241,7 +241,7 @@ def loan_eligible(clients: DataFrame, loans: DataFrame, day) -> DataFrame:
         )
     )
     busy = (
-        loans.filter(F.col("estado").isin(*K.OPEN_LOAN))
+        loans.filter(F.col("estado").isin(*K.OPEN_LOAN) & (F.col("fecha_otorgamiento") <= day))
         .select(F.col("cliente_id").alias("id")).distinct()
     )
     return fit.join(busy, "id", "left_anti").select("id", "score_credito")

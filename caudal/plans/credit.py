@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from caudal.operators import ledger as L
 from caudal.operators import portfolio as P
 from caudal.plans.registry import Query, sql_instalment, sql_pct
@@ -11,7 +9,7 @@ from caudal.plans.registry import Query, sql_instalment, sql_pct
 BAD = "estado in ('Vencido', 'En Litigio')"
 AS_OF = "2024-01-15"
 DUE_DAY = "1999-05-15"
-PRODUCT = "Comercial"  # eligibility is asked for one kind of loan
+LOAN_DAY = "1995-09-15"  # early enough for clients without an open loan
 
 QUERIES: dict[str, Query] = {
     "client_kpis": Query(
@@ -175,15 +173,13 @@ QUERIES: dict[str, Query] = {
     ),
     "loan_eligible": Query(
         "id:l score_credito:l",
-        lambda b: P.loan_eligible(
-            b.clientes, b.creditos.filter(F.col("tipo_credito") == PRODUCT), AS_OF
-        ),
+        lambda b: P.loan_eligible(b.clientes, b.creditos, LOAN_DAY),
         "clientes creditos",
         f"""select id, score_credito from clientes c
             where estado_cliente='Activo' and score_credito>580
-              and fecha_registro<=date '{AS_OF}'
+              and fecha_registro<=date '{LOAN_DAY}'
               and not exists (select 1 from creditos where cliente_id=c.id
-                              and tipo_credito='{PRODUCT}'
+                              and fecha_otorgamiento<=date '{LOAN_DAY}'
                               and estado not in ('Pagado', 'En Litigio'))""",
     ),
     "preferred_account": Query(

@@ -90,7 +90,7 @@ def _model_scores(b: Bank, kind: str, trees: int) -> DataFrame:
 def _fraud_scores(b: Bank) -> DataFrame:
     features = X.fraud_features(b.transacciones, b.cuentas, b.clientes, b.centroides)
     train, test = X.train_test_split(models.without_income(features))
-    return models.score(models.fit_fraud_model(train, trees=20), test, X.FRAUD_TARGET)
+    return models.score(models.fit_fraud_model(train), test, X.FRAUD_TARGET)
 
 
 def _gap_forecast(b: Bank) -> DataFrame:
@@ -226,7 +226,7 @@ QUERIES: dict[str, Query] = {
     ),
     "rf_scores": Query(_SCORES, lambda b: _model_scores(b, "rf", 100)),
     "lr_scores": Query(_SCORES, lambda b: _model_scores(b, "lr", 0)),
-    "gbt_scores": Query(_SCORES, lambda b: _model_scores(b, "gbt", 10)),
+    "gbt_scores": Query(_SCORES, lambda b: _model_scores(b, "gbt", 100)),
     "fraud_scores": Query(
         "id:l es_fraude:l prediccion:l probabilidad:d", _fraud_scores
     ),

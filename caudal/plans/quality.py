@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.operators import documents as D
 from caudal.operators import export as E
 from caudal.operators import quality as V
-from caudal.operators.support import new_folder
+from caudal.operators.support import new_folder, remove_folder
 from caudal.plans import credit, ledger, treasury
 from caudal.plans.registry import Query, sql_pct
 from caudal.sources.adapters import Bank
@@ -20,28 +18,39 @@ from caudal.sources.tables import load_csv
 _ALL = " ".join(TABLES)
 _WITH_ID = [name for name in TABLES if "id" in SCHEMAS[name].names]
 
-# A column of each table that is summed up to compare a table with its copy.
-_SUMMED = {
-    "clientes": "ingresos_mensuales_usd", "cuentas": "saldo_actual", "transacciones": "monto",
-    "creditos": "monto_aprobado_usd", "pagos_creditos": "monto_pago_usd",
-    "indicadores_macro": "tasa_bcv_usd_ves", "resumen_liquidez_diario": "brecha_liquidez_usd",
-    "operaciones_tesoreria": "monto_usd",
-}
+def _csv_roundtrip(b: Bank) -> DataFrame:
+    """Every table written as CSV to the shared folder and read back, column by column.
 
+    The answer has a row per column, so it is fetched and the copy removed at once.
+    """
+    folder = new_folder(b.spark, "csv")
+    try:
+        E.export_csv(b.tables, folder)
+        rows = []
+        for name in TABLES:
+            copy = load_csv(b.spark, folder, name)
+            digests = [F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10)
+                       .cast("long") for c in copy.columns]
+            found = copy.agg(
+                F.count("*"), *[F.count(c) for c in copy.columns], *[F.sum(d) for d in digests]
+            ).first()
+            n = len(copy.columns)
+            rows += [(name, c, found[0], found[1 + k], found[1 + n + k])
+                     for k, c in enumerate(copy.columns)]
+    finally:
+        remove_folder(b.spark, folder)
+    return b.spark.createDataFrame(
+        rows, "tabla string, columna string, filas long, llenas long, suma long"
+    )
 
-def _csv_roundtrip(b: Bank) -> DataFrame:
-    """Every table written as CSV to the shared folder and read back."""
-    spark = b.spark
-    folder = new_folder(spark, "csv")
-    E.export_csv(b.tables, folder)
-    parts = [
-        load_csv(spark, folder, name).agg(
-            F.lit(name).alias("tabla"), F.count("*").alias("filas"),
-            F.sum(column).cast("decimal(38,4)").alias("suma"),
-        )
-        for name, column in _SUMMED.items()
-    ]
-    return reduce(lambda a, c: a.unionByName(c), parts)
+
+def _csv_sql(table: str) -> str:
+    return _union([
+        f"""select '{table}' tabla, '{c}' columna, count(*) filas, count({c}) llenas,
+                   sum(cast('0x' || left(md5(cast({c} as varchar)), 8) as bigint)) suma
+            from {table}"""
+        for c in SCHEMAS[table].names
+    ])
 
 
 def _union(selects: list[str]) -> str:
@@ -76,12 +85,12 @@ def _json_sql(**lists: str) -> str:
     return f"select '{{' || {parts} || '}}' documento"
 
 
-def _json_list(module, name: str, *order: str, drop: str = "", exact=()) -> str:
-    """The checking SQL of a report as the text of a JSON list."""
+def _json_list(module, name: str, *order: str, drop: str = "", exact=(), keys=()) -> str:
+    """The checking SQL of a report as the text of a JSON list; ``keys`` renames columns."""
     query = module.QUERIES[name]
     texts = []
     for column, kind in query.columns:
-        if column == drop:
+        if column in drop.split():
             continue
         value = f'"{column}"'
         if kind[0] == "d" and column not in exact and kind != "d":
@@ -94,7 +103,7 @@ def _json_list(module, name: str, *order: str, drop: str = "", exact=()) -> str:
         value = f"cast({value} as varchar)"
         if kind in ("t", "f", "s"):
             value = f"'\"' || {value} || '\"'"
-        texts.append(f"'\"{column}\":' || {value}")
+        texts.append(f"'\"{dict(keys).get(column, column)}\":' || {value}")
     row = "'{' || " + " || ',' || ".join(texts) + " || '}'"
     return (
         f"select '[' || string_agg({row}, ',' order by {', '.join(order)}) || ']' "
@@ -158,13 +167,10 @@ QUERIES: dict[str, Query] = {
         ]),
     ),
     "csv_roundtrip": Query(
-        "tabla:t filas:l suma:d",
+        "tabla:t columna:t filas:l llenas:l suma:l",
         _csv_roundtrip,
         _ALL,
-        _union([
-            f"select '{t}' tabla, count(*) filas, cast(sum({c}) as decimal(38,4)) suma from {t}"
-            for t, c in _SUMMED.items()
-        ]),
+        _union([_csv_sql(name) for name in TABLES]),
     ),
     "warehouse_shape": Query(
         _upper("clientes"),
@@ -215,17 +221,21 @@ QUERIES: dict[str, Query] = {
         "documento:t",
         lambda b: D.macro_document(b.indicadores_macro),
         "indicadores_macro",
-        _json_sql(series=_json_list(treasury, "macro_monthly", "mes")),
+        f"""select ({_json_list(treasury, "macro_monthly", "mes")}) documento""",
     ),
     "credit_document": Query(
         "documento:t",
         lambda b: D.credit_document(b.creditos, b.clientes, b.pagos_creditos),
         "creditos clientes pagos_creditos",
         _json_sql(
-            scores=_json_list(credit, "default_by_score_band", "rango"),
+            scores=_json_list(credit, "default_by_score_band", "rango desc"),
             cartera_tipo=_json_list(credit, "portfolio_by_type_status", "tipo", "estado"),
-            evolucion_morosidad=_json_list(credit, "delinquency_monthly", "mes"),
-            actividad_economica=_json_list(credit, "default_by_activity", "actividad"),
+            evolucion_morosidad=_json_list(
+                credit, "delinquency_monthly", "mes", drop="mora_mayor_90 tasa_mora_mayor_90"
+            ),
+            actividad_economica=_json_list(
+                credit, "default_by_activity", "actividad", keys={"total": "total_prestamos"}
+            ),
         ),
     ),
     "operational_document": Query(
@@ -236,7 +246,9 @@ QUERIES: dict[str, Query] = {
             canales=_json_list(ledger, "tx_by_channel_status", "canal", "estado"),
             fraudes_canal=_json_list(ledger, "fraud_by_channel", "canal"),
             caidas_sistema=_json_list(ledger, "outage_days", "dia", drop="completadas"),
-            listado_fraudes=_json_list(ledger, "top_frauds", "monto_usd desc", "id"),
+            listado_fraudes=_json_list(
+                ledger, "top_frauds", "monto_usd desc", "id", drop="id"
+            ),
         ),
     ),
     "liquidity_document": Query(

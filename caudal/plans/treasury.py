@@ -90,17 +90,16 @@ QUERIES: dict[str, Query] = {
         "mes:t pagos:l inflacion_pct:d6 pib_var_pct:d6",
         lambda b: Q.month_rate_lookup(
             b.pagos_creditos.groupBy("fecha_pago").agg(F.count("*").alias("n")),
-            "fecha_pago", b.macro_for("orders"),
+            "fecha_pago", b.indicadores_macro,
         ).groupBy("mes").agg(
             F.sum("n").alias("pagos"), F.max("inflacion_pct").alias("inflacion_pct"),
             F.max("pib_var_pct").alias("pib_var_pct"),
         ),
-        "pagos_creditos creditos indicadores_macro",
+        "pagos_creditos indicadores_macro",
         """with meses as (select strftime(fecha, '%Y-%m') mes,
                                  avg(cast(inflacion_mensual_pct as double)) i,
                                  avg(cast(variacion_pib_mensual_pct as double)) g
-                          from indicadores_macro
-                          where fecha in (select fecha_otorgamiento from creditos) group by 1)
+                          from indicadores_macro group by 1)
            select p.mes, n pagos, coalesce(i, 2e0) inflacion_pct, coalesce(g, 0.5e0) pib_var_pct
            from (select strftime(fecha_pago, '%Y-%m') mes, count(*) n from pagos_creditos
                  group by 1) p left join meses m on m.mes=p.mes""",
@@ -204,7 +203,7 @@ QUERIES: dict[str, Query] = {
             from pasos where k>0""",
     ),
     "treasury_operations": Query(
-        "entidad:t fecha:f tipo_operacion:t monto_usd:d2 tasa_anual:d4 plazo_dias:l",
+        "entidad:t fecha:f tipo_operacion:t monto_usd:d2 tasa_anual:d2 plazo_dias:l",
         lambda b: Q.treasury_operations(
             Q.cash_rollforward(b.flujos_entidad), b.macro_for("lineitem")
         ),

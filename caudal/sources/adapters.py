@@ -45,7 +45,7 @@ def _rate(day: str, start: str, step: str) -> str:
 
 
 def _clientes(d: Dialect) -> str:
-    joined = d.plus_days("date '2024-01-01'", "c_custkey%20")
+    joined = d.plus_days("date '1995-01-01'", "c_custkey%400")
     born = d.plus_days("date '1950-01-01'", "(c_custkey*131)%18000")
     left = d.plus_days("date '2024-02-01'", "c_custkey%28")
     score = "cast(300+(c_custkey*37)%551 as int)"

@@ -4,19 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from caudal.sources.schemas import SCHEMAS
 
 
+_CSV = {
+    "header": True, "quote": '"', "escape": '"', "nullValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+}
+CSV_WRITING = _CSV | {"emptyValue": '""'}
+# The reader takes an empty text for a null where both look alike, so it is given another look.
+_EMPTY = "\ue000"
+_CSV_READING = _CSV | {
+    "emptyValue": _EMPTY, "multiLine": True, "enforceSchema": False, "mode": "FAILFAST",
+}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A bank table stored as parquet under its name."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
 def load_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A bank table stored as CSV with a header line; types come from the declared schema."""
-    return spark.read.schema(SCHEMAS[name]).option("header", True).csv(f"{folder}/{name}")
+    """A bank table stored as CSV with a header line; types come from the declared schema.
+
+    Headers must match the schema, and a line that does not fit ends the reading.
+    """
+    raw = spark.read.schema(SCHEMAS[name]).options(**_CSV_READING).csv(f"{folder}/{name}")
+    texts = [f.name for f in raw.schema if isinstance(f.dataType, StringType)]
+    return raw.withColumns({
+        c: F.when(F.col(c) == _EMPTY, F.lit("")).otherwise(F.col(c)) for c in texts
+    })
 
 
 def load_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:

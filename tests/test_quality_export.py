@@ -80,6 +80,24 @@ def test_csv_keeps_every_value(spark, bank, tmp_path):
         assert T.load_csv(spark, str(tmp_path), name).collect() == df.collect()
 
 
+@pytest.mark.parametrize("text", [
+    'a "quoted" one', "comma, semicolon; tab\t", "line\nbreak", "line\r\nbreak", "", " outer ",
+    None, "\\", '\\"', "'", "N", "null", '""', "é 😀",
+])
+def test_csv_keeps_every_text(spark, make, tmp_path, text):
+    clients = make("clientes", dict(id=1, nombre=text), dict(id=2, nombre="x"), nullable=True)
+    export.export_csv({"clientes": clients}, str(tmp_path))
+    copy = T.load_csv(spark, str(tmp_path), "clientes")
+    assert sorted(copy.collect(), key=lambda r: r["id"]) == clients.collect()
+
+
+def test_csv_with_other_columns_is_refused(spark, make, tmp_path):
+    clients = make("clientes", dict(id=1)).withColumnRenamed("nombre", "otro")
+    export.export_csv({"clientes": clients}, str(tmp_path))
+    with pytest.raises(Exception):
+        T.load_csv(spark, str(tmp_path), "clientes").collect()
+
+
 def test_append_recreate_and_load(spark, bank, tmp_path):
     folder = str(tmp_path)
     T.recreate(bank["creditos"], folder, "creditos")

@@ -163,7 +163,9 @@ def test_documents_hold_the_reports(spark):
                      .collect()[0][0])
     assert set(doc) == {"canales", "fraudes_canal", "caidas_sistema", "listado_fraudes"}
     top = dicts(ledger.top_frauds(b.transacciones, b.cuentas, b.clientes))
-    assert [r["id"] for r in doc["listado_fraudes"]] == [r["id"] for r in top]
+    assert [r["monto_usd"] for r in doc["listado_fraudes"]] == [float(r["monto_usd"]) for r in top]
+    assert set(doc["listado_fraudes"][0]) == {
+        "fecha_hora", "cedula", "cliente", "monto_usd", "tipo", "canal", "coords"}
     outages = dicts(ledger.outage_days(b.transacciones))
     assert [r["dia"] for r in doc["caidas_sistema"]] == [str(r["dia"]) for r in outages]
     assert [r["tasa_falla_pct"] for r in doc["caidas_sistema"]] == [
@@ -172,8 +174,13 @@ def test_documents_hold_the_reports(spark):
                         .collect()[0][0])
     months = dicts(portfolio.delinquency_monthly(b.pagos_creditos))
     assert [r["mes"] for r in credit["evolucion_morosidad"]] == [r["mes"] for r in months]
+    assert set(credit["evolucion_morosidad"][0]) == {
+        "mes", "total_pagos", "impagos", "tasa_morosidad", "promedio_dias_atraso"}
+    bands = [r["rango"] for r in credit["scores"]]
+    assert bands == sorted(bands, reverse=True)
+    assert "total_prestamos" in credit["actividad_economica"][0]
     liquid = json.loads(documents.liquidity_document(
         b.resumen_liquidez_diario, b.operaciones_tesoreria).collect()[0][0])
     assert len(liquid["evolucion"]) == liquidity.liquidity_weekly(b.resumen_liquidez_diario).count()
     macro = json.loads(documents.macro_document(b.indicadores_macro).collect()[0][0])
-    assert macro["series"] == sorted(macro["series"], key=lambda r: r["mes"])
+    assert macro == sorted(macro, key=lambda r: r["mes"])

@@ -160,3 +160,16 @@ def test_rollforward_borrows_and_invests(spark):
     assert [o["tipo_operacion"] for o in ops] == [
         "Colocacion Interbancaria", "Inversion Corto Plazo"]
     assert [o["tasa_anual"] for o in ops] == pytest.approx([27.0, 12.0])
+
+
+def test_rounding_has_no_upper_limit(spark):
+    import duckdb
+
+    xs = [9.3e16, 1e18, -1e18, 5.0e17, 9.3e16 + 0.5, 1.005, -1.005, 2.5, 45035996273704.96, 0.0]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double")
+    for digits in (0, 2, 4):
+        got = [r[0] for r in df.orderBy("k").select(N.round_half_up(F.col("x"), digits)).collect()]
+        assert got == [
+            duckdb.sql(f"select floor(cast({x!r} as double)*1e{digits}+0.5e0)/1e{digits}")
+            .fetchone()[0] for x in xs
+        ]
