@@ -96,4 +96,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_maxent": op10_maxent,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substrings": f"""
+        with w as (select doc_id, {_WORDS} ws from documents),
+             win as (select doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) h
+                     from w, unnest(range(1, len(ws)-48)) r(i)),
+             least as (select h, min(doc_id) m from win group by h),
+             gone as (select distinct doc_id, i+j pos
+                      from win join least using (h), range(50) g(j) where m<doc_id),
+             kept as (select w.doc_id, string_agg(ws[i], ' ' order by i) k, count(*) n
+                      from w, unnest(range(1, len(ws)+1)) r(i)
+                      where not exists (select 1 from gone
+                                        where gone.doc_id=w.doc_id and pos=i) group by 1)
+        select w.doc_id, cast(len(ws) as bigint) n_words,
+               cast(len(ws)-coalesce(n, 0) as bigint) n_removed,
+               sha256(coalesce(k, '')) kept_sha256
+        from w left join kept using (doc_id)""",
+    "op5_quality": f"""
+        with t as (select doc_id, coalesce(text, '') t, {_WORDS} ws from documents),
+             win as (select doc_id, i, array_to_string(ws[i:i+4], ' ') h
+                     from t, unnest(range(1, len(ws)-3)) r(i)),
+             twice as (select doc_id, i from win
+                       qualify count(*) over (partition by doc_id, h)>1),
+             covered as (select doc_id, count(distinct i+j) n from twice, range(5) g(j) group by 1),
+             lines as (select doc_id, list_filter(string_split(t, chr(10)),
+                              lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from t),
+             m as (select doc_id, cast(len(ws) as bigint) n_words,
+                          cast(length(array_to_string(ws, '')) as bigint) word_chars,
+                          cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+                          cast(len(ls)-len(list_distinct(ls)) as bigint) n_dup_lines,
+                          coalesce(n, 0) n_repeat_words, cast(len(ls) as bigint) n_lines,
+                          cast(length(regexp_replace(t, '[^!]', '', 'g')) as bigint) n_exclamations
+                   from t join lines using (doc_id) left join covered using (doc_id)),
+             b as (select *, cast(case when n_words<10 then 1 else 0 end
+                        + case when 100*n_repeat_words>20*n_words then 2 else 0 end
+                        + case when 100*n_symbols>30*n_words then 4 else 0 end
+                        + case when n_exclamations>n_words then 8 else 0 end
+                        + case when 100*n_dup_lines>60*n_lines then 16 else 0 end
+                        + case when word_chars>40*n_words or 10*word_chars<12*n_words
+                               then 32 else 0 end as bigint) fail_bits from m)
+        select *, fail_bits&3<>0 base_failed, fail_bits=0 kept from b""",
+}
