@@ -30,27 +30,26 @@ CELL_ROWS = 4_000  # rows of the blocks that one call works off
 
 @dataclass(frozen=True)
 class Quantiser:
-    """64-bit code of a unit vector: signs of ``(x - mean) @ planes``."""
+    """64-bit code of a unit vector: signs of ``x @ planes``."""
 
-    mean: np.ndarray
     planes: np.ndarray
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        signs = (unit - self.mean) @ self.planes > 0
+        signs = unit @ self.planes > 0
         return np.packbits(signs, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fit(sample: np.ndarray, seed: int = 3) -> Quantiser:
     """Principal directions of the sample, then the rotation that brings it nearest to signs.
 
+    The sample is not centred: links go by the angle at the origin, and around the mean of a
+    large group of near copies signs would tell nothing but their noise apart.
     Short vectors get several rotations from different starts, so that codes have 64 bits.
     """
-    mean = sample.mean(axis=0)
-    centred = sample - mean
     bits = min(64, sample.shape[1])
-    _, directions = np.linalg.eigh(centred.T @ centred)
+    _, directions = np.linalg.eigh(sample.T @ sample)
     directions = directions[:, ::-1][:, :bits]
-    projected = centred @ directions
+    projected = sample @ directions
     planes = []
     for start in range(-(-64 // bits)):
         random = np.random.default_rng(seed + start).standard_normal((bits, bits))
@@ -60,7 +59,7 @@ def fit(sample: np.ndarray, seed: int = 3) -> Quantiser:
             left, _, right = np.linalg.svd(signs.T @ projected)
             rotation = (left @ right).T
         planes.append(directions @ rotation)
-    return Quantiser(mean, np.hstack(planes)[:, :64])
+    return Quantiser(np.hstack(planes)[:, :64])
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
