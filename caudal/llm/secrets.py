@@ -105,7 +105,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_D
 
     Values inside pattern spans are samples of random strings; tokens of the texts between the
     spans are samples of ordinary identifiers. Transition counts (place 0 is the token's begin)
-    are smoothed by one. A sample without random strings gives a uniform random model.
+    are smoothed towards the frequency of the second character, and those by one. A sample
+    without random strings gives a uniform random model.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     part = math.ceil(SLOTS * min(1.0, train_docs / max(1, docs.count())))
@@ -134,12 +135,21 @@ def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_D
     )
     counts = pairs.groupBy("random", "p.a", "p.b").agg(F.sum("count").alias("n")).collect()
     n = {(r["random"], r["a"], r["b"]): r["n"] for r in counts}  # at most 2 * SIZE ** 2 entries
-    ratios = []
-    for a in range(SIZE):
-        total = [sum(n.get((k, a, b), 0) for b in range(SIZE)) + SIZE for k in (False, True)]
-        for b in range(SIZE):
-            p = [(n.get((k, a, b), 0) + 1) / total[k] for k in (False, True)]
-            ratios.append(round(math.log(p[1] / p[0]), 6))
+    places = range(SIZE)
+
+    def transitions(random: bool) -> list[list[float]]:
+        row = [sum(n.get((random, a, b), 0) for b in places) for a in places]
+        column = [sum(n.get((random, a, b), 0) for a in places) for b in places]
+        alone = [(c + 1) / (sum(column) + SIZE) for c in column]
+        return [
+            [(n.get((random, a, b), 0) + SIZE * alone[b]) / (row[a] + SIZE) for b in places]
+            for a in places
+        ]
+
+    ordinary, strings = transitions(False), transitions(True)
+    ratios = [
+        round(math.log(strings[a][b] / ordinary[a][b]), 6) for a in places for b in places
+    ]
     return MarkovModels(tuple(ratios))
 
 
