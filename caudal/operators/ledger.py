@@ -287,13 +287,15 @@ def daily_deposits(tx: DataFrame, accounts: DataFrame) -> DataFrame:
 # ---- amounts ------------------------------------------------------------------------
 
 
-def fx_normalize(tx: DataFrame) -> DataFrame:
-    """Both currencies of each amount at the row's own rate, and back to dollars."""
-    ves = to_ves(double(_usd()), double(F.col("tasa_cambio")))
-    return tx.select(
-        "id", "monto_usd", "tasa_cambio",
-        ves.alias("monto_ves"),
-        to_usd(ves, F.col("tasa_cambio")).alias("monto_usd_de_ves"),
+def fx_normalize(tx: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Each stored amount, kept in the account's currency, in both currencies at the row's rate."""
+    currency = accounts.select(F.col("id").alias("cuenta_id"), "moneda")
+    amount, rate = double(F.col("monto")), double(F.col("tasa_cambio"))
+    local = F.col("moneda") == "VES"
+    return tx.join(currency, "cuenta_id").select(
+        "id", "moneda", "monto", "tasa_cambio", "monto_usd",
+        F.when(local, amount).otherwise(to_ves(amount, rate)).alias("en_ves"),
+        F.when(local, to_usd(amount, rate)).otherwise(amount).alias("en_usd"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.functions.numeric import count_if, double, num, round_half_up
+from caudal.functions.numeric import count_if, double, num
+from caudal.operators.support import running_totals
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -41,30 +42,29 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     )
 
 
-def _by_score(df: DataFrame, label: str, score: str, digits: int) -> DataFrame:
-    """Positives and negatives per distinct score.
+def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score, and of all scores up to it.
 
-    Scores are rounded first: whole-number scores stay as they are and probabilities fall
-    on at most 10**digits + 1 values, which bounds the one-task windows over this frame.
+    There may be as many scores as rows, so the running counts are summed slice by slice.
     """
     positive = F.col(label) == 1
-    return df.groupBy(round_half_up(F.col(score), digits).alias("puntaje")).agg(
+    counts = df.groupBy(double(F.col(score)).alias("puntaje")).agg(
         count_if(positive).alias("pos"), count_if(~positive).alias("neg")
     )
+    upto = running_totals(
+        counts.withColumn("_todo", F.lit(0)), "_todo", ["puntaje"],
+        {"pos_hasta": F.col("pos"), "neg_hasta": F.col("neg")},
+    )
+    return upto.drop("_todo")
 
 
-def auc_gini(df: DataFrame, label: str, score: str, digits: int = 4) -> DataFrame:
+def auc_gini(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve and Gini; rows of equal score count as half."""
-    order = Window.orderBy("puntaje").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(order), F.lit(0))
-    wins = F.col("pos") * (double(F.col("menores")) + double(F.col("neg")) / 2)
-    totals = (
-        _by_score(df, label, score, digits)
-        .withColumn("menores", below)
-        .agg(
-            F.sum("pos").alias("positivos"), F.sum("neg").alias("negativos"),
-            F.sum(wins).alias("aciertos"),
-        )
+    below = double(F.col("neg_hasta") - F.col("neg"))
+    wins = F.col("pos") * (below + double(F.col("neg")) / 2)
+    totals = _by_score(df, label, score).agg(
+        F.sum("pos").alias("positivos"), F.sum("neg").alias("negativos"),
+        F.sum(wins).alias("aciertos"),
     )
     pairs = double(F.col("positivos")) * double(F.col("negativos"))
     auc = F.when(pairs > 0, F.col("aciertos") / pairs)
@@ -73,29 +73,30 @@ def auc_gini(df: DataFrame, label: str, score: str, digits: int = 4) -> DataFram
     )
 
 
-def pr_curve(df: DataFrame, label: str, score: str, digits: int = 4) -> DataFrame:
+def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Precision and recall when all rows of at least each score are taken as positive."""
-    down = Window.orderBy(F.desc("puntaje")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    curve = _by_score(df, label, score, digits).select(
-        "puntaje",
-        F.sum("pos").over(down).alias("vp"),
-        F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(whole).alias("positivos"),
+    scores = _by_score(df, label, score)
+    whole = scores.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    positives, negatives = (whole.select(c).scalar() for c in ("p", "n"))
+    curve = scores.select(
+        "puntaje", "pos",
+        (positives - F.col("pos_hasta") + F.col("pos")).alias("vp"),
+        (negatives - F.col("neg_hasta") + F.col("neg")).alias("fp"),
+        positives.alias("positivos"),
     )
     tp = double(F.col("vp"))
     return curve.select(
         "puntaje", "vp", "fp",
         (tp / (tp + double(F.col("fp")))).alias("precision"),
         F.when(F.col("positivos") > 0, tp / double(F.col("positivos"))).alias("recall"),
+        F.when(F.col("positivos") > 0, double(F.col("pos")) / double(F.col("positivos")))
+        .alias("paso"),
     )
 
 
 def pr_auc(curve: DataFrame) -> DataFrame:
     """Area under a precision-recall curve as a step function (average precision)."""
-    before = F.lag("recall", 1, 0.0).over(Window.orderBy(F.desc("puntaje")))
-    step = (F.col("recall") - F.col("antes")) * F.col("precision")
-    return curve.withColumn("antes", before).agg(F.sum(step).alias("pr_auc"))
+    return curve.agg(F.sum(F.col("paso") * F.col("precision")).alias("pr_auc"))
 
 
 def forecast_error(df: DataFrame, actual: str, forecast: str) -> DataFrame:

@@ -219,13 +219,15 @@ QUERIES: dict[str, Query] = {
             group by all""",
     ),
     "fx_normalize": Query(
-        "id:l monto_usd:d tasa_cambio:d monto_ves:d4 monto_usd_de_ves:d4",
-        lambda b: L.fx_normalize(b.transacciones),
-        "transacciones",
-        """select id, monto_usd, tasa_cambio,
-                  cast(monto_usd as double)*cast(tasa_cambio as double) monto_ves,
-                  cast(monto_usd as double) monto_usd_de_ves
-           from transacciones""",
+        "id:l moneda:t monto:d tasa_cambio:d monto_usd:d en_ves:d2 en_usd:d2",
+        lambda b: L.fx_normalize(b.transacciones, b.cuentas),
+        "transacciones cuentas",
+        """select t.id, moneda, monto, tasa_cambio, monto_usd,
+                  case moneda when 'VES' then cast(monto as double)
+                       else cast(monto as double)*cast(tasa_cambio as double) end en_ves,
+                  case moneda when 'USD' then cast(monto as double)
+                       else cast(monto as double)/cast(tasa_cambio as double) end en_usd
+           from transacciones t join cuentas c on c.id=cuenta_id""",
     ),
     "clamped_amounts": Query(
         "id:l moneda:t monto_acotado_usd:d",

@@ -264,3 +264,26 @@ QUERIES: dict[str, Query] = {
         ),
     ),
 }
+
+
+def _warehouse_query(table: str) -> Query:
+    return Query(
+        _upper(table),
+        lambda b: E.warehouse_shape(b.tables[table]),
+        table,
+        "select " + ", ".join(f'{c} as "{c.upper()}"' for c in SCHEMAS[table].names)
+        + f" from {table}",
+    )
+
+
+def _literals_query(table: str) -> Query:
+    return Query(
+        "fila:t",
+        lambda b: E.row_literals(b.tables[table]),
+        table,
+        f"select {_row_sql(table)} fila from {table}",
+    )
+
+
+QUERIES |= {f"warehouse_{t}": _warehouse_query(t) for t in TABLES}
+QUERIES |= {f"sql_literals_{t}": _literals_query(t) for t in TABLES}
