@@ -13,7 +13,7 @@ from caudal.functions.numeric import (
     amount_to_income, debt_to_income, double, haversine_km, instalment_to_income, num,
 )
 from caudal.functions.text import device_number, document_prefix, is_company, mail_address
-from caudal.operators.ledger import account_owner
+from caudal.operators.ledger import account_owner, amount_vs_history, new_device_flag
 from caudal.operators.support import join_small
 
 NUMERIC = [
@@ -97,6 +97,19 @@ def fraud_features(
     )
 
 
+def fraud_history_features(
+    tx: DataFrame, accounts: DataFrame, clients: DataFrame, centroids: DataFrame
+) -> DataFrame:
+    """The fraud features with the account's history: amount against its earlier mean, and
+    whether the device is new."""
+    history = amount_vs_history(tx).select("id", "previas", "media_previa", "razon")
+    device = new_device_flag(tx).select("id", "dispositivo_nuevo")
+    return (
+        fraud_features(tx, accounts, clients, centroids)
+        .join(history, "id").join(device, "id")
+    )
+
+
 def client_normalize(clients: DataFrame) -> DataFrame:
     """Document prefix, company mark, mail address and device id of each client."""
     document = F.col("cedula")

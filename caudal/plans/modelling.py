@@ -12,6 +12,7 @@ from caudal.operators import metrics as M
 from caudal.operators import models
 from caudal.operators.liquidity import gap_free, liquidity_features
 from caudal.operators.support import materialize
+from caudal.plans import ledger
 from caudal.plans.registry import Query
 from caudal.sources.adapters import Bank
 
@@ -271,3 +272,14 @@ QUERIES: dict[str, Query] = {
         "fecha:f brecha_liquidez_usd:d pronostico_usd:d", _gap_forecast
     ),
 }
+
+QUERIES["fraud_history_features"] = Query(
+    QUERIES["fraud_features"].output
+    + " previas:l media_previa:d6 razon:d6 dispositivo_nuevo:l",
+    lambda b: X.fraud_history_features(b.transacciones, b.cuentas, b.clientes, b.centroides),
+    QUERIES["fraud_features"].tables,
+    f"""select f.*, previas, media_previa, razon, dispositivo_nuevo
+        from ({QUERIES["fraud_features"].sql}) f
+             join ({ledger.QUERIES["amount_vs_history"].sql}) h using (id)
+             join ({ledger.QUERIES["new_device_flag"].sql}) d using (id)""",
+)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from caudal.functions.calendar import day_range
 from caudal.operators import liquidity as Q
+from caudal.operators.daily import daily_liquidity
+from caudal.plans import credit, ledger
 from caudal.plans.registry import Query
 
 _DAILY = "resumen_liquidez_diario"
@@ -220,3 +222,36 @@ QUERIES: dict[str, Query] = {
             where k>0 and coalesce(fondeo, inversion) is not null""",
     ),
 }
+
+# Levels of each day with a rate, as the checking database sees them.
+_FLOWS = f"""(
+    with depositos as ({ledger.QUERIES["daily_deposits"].sql}),
+         dias as (select fecha, tasa_bcv_usd_ves from indicadores_macro
+                  where fecha between (select min(fecha) from depositos)
+                                  and (select max(fecha) from depositos)),
+         flujo as ({ledger.QUERIES["daily_net_flow"].sql}),
+         creditos_dia as (select fecha, total_creditos_usd
+                          from ({credit.QUERIES["open_loan_balance"].sql}))
+    select 'banco' entidad, m.fecha, tasa_bcv_usd_ves, coalesce(flujo_neto_usd, 0) flujo_neto_usd,
+           coalesce((select arg_max(total_depositos, d.fecha) from depositos d
+                     where moneda='VES' and d.fecha<=m.fecha), 0) total_depositos_ves,
+           coalesce((select arg_max(total_depositos, d.fecha) from depositos d
+                     where moneda='USD' and d.fecha<=m.fecha), 0) total_depositos_usd,
+           coalesce((select arg_max(total_creditos_usd, c.fecha) from creditos_dia c
+                     where c.fecha<=m.fecha), 0) total_creditos_usd
+    from dias m left join flujo using (fecha))"""
+
+QUERIES["daily_liquidity"] = Query(
+    "fecha:f total_depositos_ves:d2 total_depositos_usd:d2 total_creditos_ves:d2 "
+    "total_creditos_usd:d2 disponible_caja_ves:d2 encaje_legal_bcv_ves:d2 tasa_liquidez:d4 "
+    "brecha_liquidez_usd:d2",
+    lambda b: daily_liquidity(b.transacciones, b.cuentas, b.creditos, b.indicadores_macro),
+    "transacciones cuentas creditos indicadores_macro",
+    f"""{_ROLL.replace("flujos_entidad", _FLOWS)}
+        select p.fecha, total_depositos_ves, total_depositos_usd,
+               cast(total_creditos_usd as double)*cast(tasa_bcv_usd_ves as double)
+                   total_creditos_ves,
+               total_creditos_usd, caja disponible_caja_ves, encaje encaje_legal_bcv_ves,
+               razon tasa_liquidez, brecha brecha_liquidez_usd
+        from pasos p join {_FLOWS} f on f.fecha=p.fecha where k>0""",
+)
