@@ -149,7 +149,8 @@ def mix(
 def calibrated(cells: DataFrame, keep: float, low: float) -> float:
     """The factor that makes the expected kept tokens ``keep`` of all, by nested grids."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    low, high = 0.0, max(low, 1.0 / (cells.agg(F.min("weight")).first()[0] or 1.0))
+    least = cells.filter("weight > 0").agg(F.min("weight")).first()[0]
+    low, high = 0.0, max(low, 1.0 / (least or 1.0))
     for _ in range(8):
         steps = [low + (high - low) * k / 32 for k in range(33)]
         got = cells.agg(*[

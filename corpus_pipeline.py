@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from caudal.llm.bpe import bpe_tokens
 from caudal.llm.mixing import mix
 from caudal.llm.quality import decide, ledger
-from caudal.llm.queries import MIXING_TARGETS, mixing_dimensions
+from caudal.llm.queries import MIXING_KEEP, MIXING_TARGETS, mixing_dimensions
 from caudal.llm.secrets import masked, scan
 from caudal.llm.simhash import keep_one
 from caudal.operators.support import new_folder
@@ -49,9 +49,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by the probabilities that meet the target weights."""
+    """Documents are sampled towards the target weights, with a stated share of the tokens kept."""
     drawn = mix(docs.select("*", F.struct("*").alias("_doc")), MIXING_TARGETS,
-                mixing_dimensions(), carry=("_doc",))
+                mixing_dimensions(), keep=MIXING_KEEP, carry=("_doc",))
     return drawn.filter("sampled").select("_doc.*")
 
 

@@ -215,6 +215,39 @@ def test_samples_follow_their_probabilities(spark):
     assert again == {r["doc_id"]: r["sampled"] for r in rows}
 
 
+def hot_and_rare(spark, rare):
+    """A hot source, 20 plain ones, and one with ``rare`` documents, all of 10 words."""
+    return spark.range(3000 + rare).selectExpr(
+        "id doc_id", "repeat('w ', 10) text", "'en' lang",
+        f"if(id < {rare}, 'rare', if(id % 3 = 0, 'hot', concat('s', id % 20))) source")
+
+
+@pytest.mark.parametrize("rare", [1, 100])
+def test_a_rare_source_does_not_thin_the_rest(spark, tmp_path, rare):
+    import corpus_pipeline
+    from caudal.llm.queries import MIXING_KEEP, op8_mixing
+
+    hot_and_rare(spark, rare).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op8_mixing(spark, str(tmp_path)).collect()
+    total = sum(r["n_tokens"] for r in rows)
+    kept = sum(r["probability"] * r["n_tokens"] for r in rows)
+    assert kept == pytest.approx(MIXING_KEEP * total, rel=1e-3)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    drawn = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in drawn.collect()} == {r["doc_id"] for r in rows if r["sampled"]}
+
+
+def test_a_share_is_kept_beside_a_cell_without_weight(spark):
+    df = spark.range(3000).selectExpr(
+        "id doc_id", "'w w' text", "'en' lang",
+        "if(id % 3 = 0, 'none', if(id % 30 = 1, 'few', 'many')) source")
+    targets = {"source": {"none": 0.0, "few": 0.9, "many": 0.1}, "lang": 1.0}
+    rows = mixed(df, targets, keep=0.6).collect()
+    kept = sum(r["probability"] for r in rows) / len(rows)
+    assert kept == pytest.approx(0.6, rel=1e-3)
+    assert not any(r["sampled"] for r in rows if r["source"] == "none")
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, None, None, "en"), (2, "", "a", None), (3, "x y", None, "en"), (3, "x y", None, "en"),
             (None, "z", "a", "de"), (4, "w " * 20_000, "b", "en")]
