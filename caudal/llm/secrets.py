@@ -2,18 +2,21 @@
 
 The patterns find labelled assignments, access keys and long hex strings. Two models of
 character transitions, one of random strings and one of ordinary identifiers, are trained from
-samples that the patterns label; a long token outside all pattern spans is a secret when its
-log-likelihood ratio is high. DataFrame functions only.
+samples that the patterns label; a token of 12 or more characters outside all pattern spans is a
+secret when its log-likelihood ratio is high. The bound is chosen by length from the same samples.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caudal.llm.storage import stored
+
 #: Kinds in order: pattern, group that is measured, its least length in characters.
 PATTERNS = {
     "assign": (
@@ -26,13 +29,20 @@ PATTERNS = {
 KINDS = (*PATTERNS, "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 12  # characters of the shortest token that is scored
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SAMPLE = r"[A-Za-z0-9+/_=-]{6,}"
 SIZE = len(ALPHABET) + 1
+#: Upper case, lower case, digits, signs: which parts of the alphabet a token uses.
+PARTS = ((1, 26), (27, 52), (53, 62), (63, 67))
 
 TRAIN_DOCS = 10_000  # bound of the training sample
 SLOTS = 1 << 30  # fineness of the hash that draws it
-THRESHOLD = 30.0  # nats by which the random model must be more likely
+THRESHOLD = 30.0  # nats by which the random model must be more likely, in too small samples
+BANDS = (LEAST, 16, 20)  # least lengths that have a threshold of their own
+LOWEST = 10  # nats: no threshold chosen from samples is below
+ENOUGH = 1_000  # ordinary tokens from which on thresholds are chosen from samples
+FALSE_COST = 10  # a false share counts so many times a missed share
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -81,24 +91,116 @@ def _codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
+def _table(values: tuple[float, ...], kind: str) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 @dataclass(frozen=True)
 class MarkovModels:
-    """Log ratio of every transition: random strings over ordinary identifiers."""
+    """Log ratio of every transition: random strings over ordinary identifiers.
+
+    ``surprise`` is the negative logarithm of the ordinary model. With it a token is also held
+    against a uniform draw from the parts of the alphabet that it uses, since labelled strings
+    need not show every alphabet. ``thresholds`` are (least length, nats), ``measured`` has what
+    they gave on the samples: (least length, share of random strings found, share of ordinary
+    tokens taken for random).
+    """
 
     ratios: tuple[float, ...]
+    surprise: tuple[float, ...] = ()
+    thresholds: tuple[tuple[int, float], ...] = ((LEAST, THRESHOLD),)
+    measured: tuple[tuple[int, float, float], ...] = ()
 
     def score(self, codes: Column) -> Column:
         """Log-likelihood ratio of a token given as alphabet positions."""
-        table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")
+        table = _table(self.ratios, "double")
+        if not self.surprise:
+            return F.aggregate(
+                codes,
+                F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last")),
+                lambda acc, c: F.struct(
+                    (acc["sum"] + F.get(table, acc["last"] * SIZE + c)).alias("sum"),
+                    c.alias("last"),
+                ),
+                lambda acc: acc["sum"],
+            )
+        surprise = _table(self.surprise, "double")
+        part = _table(tuple(
+            sum(1 << k for k, (a, b) in enumerate(PARTS) if a <= c <= b) for c in range(SIZE)
+        ), "int")
+        room = _table(tuple(
+            math.log(max(1, sum(b - a + 1 for k, (a, b) in enumerate(PARTS) if used >> k & 1)))
+            for used in range(1 << len(PARTS))
+        ), "double")
         return F.aggregate(
             codes,
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last")),
+            F.struct(
+                F.lit(0.0).alias("sum"), F.lit(0.0).alias("plain"), F.lit(0).alias("used"),
+                F.lit(0).alias("n"), F.lit(0).alias("last"),
+            ),
             lambda acc, c: F.struct(
-                (acc["sum"] + F.get(table, acc["last"] * SIZE + c)).alias("sum"), c.alias("last")
+                (acc["sum"] + F.get(table, acc["last"] * SIZE + c)).alias("sum"),
+                (acc["plain"] + F.get(surprise, acc["last"] * SIZE + c)).alias("plain"),
+                acc["used"].bitwiseOR(F.get(part, c)).alias("used"),
+                (acc["n"] + 1).alias("n"), c.alias("last"),
             ),
-            lambda acc: acc["sum"],
+            lambda acc: F.greatest(acc["sum"], acc["plain"] - acc["n"] * F.get(room, acc["used"])),
         )
 
+    def threshold(self, length: Column) -> Column:
+        """Nats from which on a token of this length is a secret."""
+        out = F.lit(self.thresholds[0][1])
+        for least, nats in self.thresholds[1:]:
+            out = F.when(length >= least, F.lit(nats)).otherwise(out)
+        return out
+
+
+def calibrated(models: MarkovModels, chained: DataFrame) -> MarkovModels:
+    """The models with thresholds chosen from labelled samples.
+
+    ``chained`` has ``random``, ``count`` and ``c``, 0 and the alphabet positions. Begins of random
+    strings are samples of shorter ones. In each band of lengths the threshold has the least sum
+    of the missed share and ``FALSE_COST`` times the false share; a share of secrets among the
+    ordinary tokens that is small beside 1 / ``FALSE_COST`` cannot raise it past the random
+    strings. A band with few samples takes the threshold of all lengths.
+    """
+    codes = chained.select(
+        "random", "count", F.slice("c", 2, F.size("c")).alias("codes")
+    ).filter(F.size("codes") >= LEAST)
+    cut = F.when(F.col("random"), F.array(*[
+        F.slice("codes", 1, n) for n in range(LEAST, 33)
+    ])).otherwise(F.array("codes"))
+    # a begin that is no shorter than the string is the string: it counts once
+    tokens = codes.withColumn("codes", F.explode(F.array_distinct(cut)))
+    band = F.lit(BANDS[0])
+    for least in BANDS[1:]:
+        band = F.when(F.size("codes") >= least, F.lit(least)).otherwise(band)
+    nats = F.least(F.lit(200), F.greatest(F.lit(0), F.floor(models.score(F.col("codes")))))
+    found = tokens.groupBy("random", band.alias("band"), nats.alias("nats")).agg(
+        F.sum("count").alias("n")
+    ).collect()  # at most 201 scores per band and label
+
+    def best(bands: tuple[int, ...]) -> tuple[float, float, float] | None:
+        own = [r for r in found if r["band"] in bands]
+        n = {k: sum(r["n"] for r in own if r["random"] is k) for k in (True, False)}
+        if n[False] < ENOUGH or not n[True]:
+            return None
+
+        def share(k: bool, t: int) -> float:
+            return sum(r["n"] for r in own if r["random"] is k and r["nats"] >= t) / n[k]
+
+        return min(
+            (1 - share(True, t) + FALSE_COST * share(False, t), t, share(True, t), share(False, t))
+            for t in range(LOWEST, 201)
+        )[1:]
+
+    whole = best(BANDS) or (LOWEST, math.nan, math.nan)
+    chosen = [(b, *(best((b,)) or whole)) for b in BANDS]
+    return replace(
+        models, thresholds=tuple((b, float(t)) for b, t, _, _ in chosen),
+        measured=tuple((b, recall, false) for b, _, recall, false in chosen),
+    )
+
 
 def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_DOCS):
     """Fit both models on a bounded sample: about ``train_docs`` documents, by a hash of the row.
@@ -106,7 +208,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_D
     Values inside pattern spans are samples of random strings; tokens of the texts between the
     spans are samples of ordinary identifiers. Transition counts (place 0 is the token's begin)
     are smoothed towards the frequency of the second character, and those by one. A sample
-    without random strings gives a uniform random model.
+    without random strings gives a uniform random model. With ``ENOUGH`` ordinary tokens the
+    thresholds are chosen from the samples; with fewer, ``THRESHOLD`` holds for the ratio alone.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     part = math.ceil(SLOTS * min(1.0, train_docs / max(1, docs.count())))
@@ -124,9 +227,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_D
             F.struct(F.lit(False).alias("random"), words.alias("tokens")),
         )).alias("s")
     ).select("s.random", F.explode("s.tokens").alias("token"))
-    chained = labelled.groupBy("random", "token").count().select(
+    chained = stored(labelled.groupBy("random", "token").count().select(
         "random", "count", F.concat(F.array(F.lit(0)), _codes(F.col("token"))).alias("c")
-    )
+    ), "samples")
     pairs = chained.select(
         "random", "count",
         F.explode(F.arrays_zip(
@@ -150,7 +253,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_D
     ratios = [
         round(math.log(strings[a][b] / ordinary[a][b]), 6) for a in places for b in places
     ]
-    return MarkovModels(tuple(ratios))
+    begun = sum(count for (random, a, _), count in n.items() if not random and a == 0)
+    if begun < ENOUGH:
+        return MarkovModels(tuple(ratios))
+    surprise = [round(-math.log(p), 6) for row in ordinary for p in row]
+    return calibrated(MarkovModels(tuple(ratios), tuple(surprise)), chained)
 
 
 def scan(
@@ -158,15 +265,15 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     models: MarkovModels | None = None,
-    threshold: float = THRESHOLD,
+    threshold: float | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_assign``, ``n_access``, ``n_hex``, ``n_markov``,
     ``base_sha256``, ``spans``, and ``found`` (array<struct<start, kind_no, end, kind>>).
 
     Spans are whole matches, start to end (exclusive) in code points, ordered by start, then
-    kind. A Markov span is a run of 20 or more of ``A-Za-z0-9+/_=-`` that overlaps no pattern
-    span and scores ``threshold`` or more. A null text counts as empty: no spans, the digest of
+    kind. A Markov span is a run of 12 or more of ``A-Za-z0-9+/_=-`` that overlaps no pattern
+    span and scores ``threshold`` or more; left out, the models' threshold for its length. A null text counts as empty: no spans, the digest of
     an empty list. Repeated rows and null ids come back as they are; an empty table gives an
     empty result; other columns than the id and ``carry`` are not kept. No shuffle after training.
     """
@@ -197,8 +304,11 @@ def scan(
     free = lambda t: ~F.exists(
         F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])
     )
+    least = lambda t: (
+        models.threshold(F.length(t["value"])) if threshold is None else F.lit(float(threshold))
+    )
     random = F.filter(
-        F.col("_tokens"), lambda t: free(t) & (models.score(_codes(t["value"])) >= threshold)
+        F.col("_tokens"), lambda t: free(t) & (models.score(_codes(t["value"])) >= least(t))
     )
     scored = ranked.withColumn("_markov", numbered("markov", random)).withColumn(
         "found", F.sort_array(F.concat("_base", "_markov"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -297,6 +298,44 @@ def test_markov_models_tell_random_strings_from_words(spark):
         assert r["spans"] == f"markov:{at}:{at + 40}"
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    """Models of syllable words and of labelled lower-case hex strings only."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(syllable_word(rng) for _ in range(80))
+             + f' token = "{drawn(rng, "0123456789abcdef", 40)}"') for i in range(200)]
+    return secrets.train(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+
+
+def syllable_word(rng):
+    return "".join(rng.choice(["tion", "Ment", "er", "an", "the", "ing", "On", "re", "at"])
+                   for _ in range(rng.randint(1, 9)))
+
+
+def drawn(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_short_random_strings_of_several_alphabets_are_found(spark, trained):
+    rng = random.Random(13)
+    alphabets = {"mixed": string.ascii_letters + string.digits,
+                 "upper": string.ascii_uppercase + string.digits,
+                 "lower": string.ascii_lowercase + string.digits}
+    keys = [(name, n, drawn(rng, letters, n)) for name, letters in alphabets.items()
+            for n in (12, 16, 20, 23, 32) for _ in range(40)]
+    words = [syllable_word(rng) for _ in range(4000)]
+    df = spark.createDataFrame(
+        [(i, f"an {t} on") for i, t in enumerate([k for *_, k in keys] + words)],
+        "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.scan(df, models=trained).filter("n_markov > 0").collect()}
+    for name in alphabets:
+        for n in (12, 16, 20, 23, 32):
+            own = [i for i, (a, m, _) in enumerate(keys) if (a, m) == (name, n)]
+            assert sum(i in found for i in own) >= 0.9 * len(own), (name, n)
+    assert sum(i >= len(keys) for i in found) <= 0.002 * len(words)
+    assert all(recall >= 0.9 and false <= 0.002 for _, recall, false in trained.measured)
+
+
 def test_masks_replace_whole_spans(spark):
     text = 'a password="abcdefgh" b'
     df = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id long, text string")
