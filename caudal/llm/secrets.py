@@ -2,7 +2,7 @@
 
 The patterns find labelled assignments, access keys and long hex strings. Two models of
 character transitions, one of random strings and one of ordinary identifiers, are trained from
-samples that the patterns label; a token of 12 or more characters outside all pattern spans is a
+samples that the patterns label; a token of 12 or more characters that no pattern span covers is a
 secret when its log-likelihood ratio is high. The bound is chosen by length from the same samples.
 DataFrame functions only.
 """
@@ -272,8 +272,8 @@ def scan(
     ``base_sha256``, ``spans``, and ``found`` (array<struct<start, kind_no, end, kind>>).
 
     Spans are whole matches, start to end (exclusive) in code points, ordered by start, then
-    kind. A Markov span is a run of 12 or more of ``A-Za-z0-9+/_=-`` that overlaps no pattern
-    span and scores ``threshold`` or more; left out, the models' threshold for its length. A null text counts as empty: no spans, the digest of
+    kind. A Markov span is a run of 12 or more of ``A-Za-z0-9+/_=-`` that no pattern span
+    covers as a whole and scores ``threshold`` or more; left out, the models' threshold for its length. A null text counts as empty: no spans, the digest of
     an empty list. Repeated rows and null ids come back as they are; an empty table gives an
     empty result; other columns than the id and ``carry`` are not kept. No shuffle after training.
     """
@@ -302,7 +302,7 @@ def scan(
         "_base", F.sort_array(F.concat(*[numbered(k, F.col(f"_{k}")) for k in PATTERNS]))
     )
     free = lambda t: ~F.exists(
-        F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])
+        F.col("_base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])
     )
     least = lambda t: (
         models.threshold(F.length(t["value"])) if threshold is None else F.lit(float(threshold))

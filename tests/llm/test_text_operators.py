@@ -336,6 +336,20 @@ def test_short_random_strings_of_several_alphabets_are_found(spark, trained):
     assert all(recall >= 0.9 and false <= 0.002 for _, recall, false in trained.measured)
 
 
+def test_the_rest_of_a_key_beside_a_pattern_is_found(spark, trained):
+    rng = random.Random(14)
+    head, tail = (drawn(rng, string.ascii_letters[26:] + "IJ", 15) for _ in range(2))
+    inner = drawn(rng, "0123456789abcdef", 24)
+    key = f"{head}_{inner}_{tail}"
+    texts = [(1, f"an {key} on"), (2, f"an {inner} on")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["m"]) for r in secrets.scan(
+        df, models=trained, carry=("text",)
+    ).select("doc_id", "spans", secrets.masked(F.col("text"), F.col("found")).alias("m")).collect()}
+    assert got == {1: (f"markov:3:{3 + len(key)},hex:19:43", "an [secret] on"),
+                   2: ("hex:3:27", "an [secret] on")}
+
+
 def test_masks_replace_whole_spans(spark):
     text = 'a password="abcdefgh" b'
     df = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id long, text string")
