@@ -320,3 +320,56 @@ def test_pipeline_runs_whole(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "ids", "decoded"} <= set(out.columns)
+
+
+def drawn_by_hand(spark, rows, keep):
+    """rows: (id, text, source, lang). Ids that raked probabilities and the hash draw keep."""
+    from caudal.llm.queries import MIXING_TARGETS
+
+    def kind(t):
+        return ("table" if " | " in t else "licence" if "icense" in t
+                else "contact" if "@" in t else "prose")
+
+    cell_of = {i: (s, lang, kind(t)) for i, t, s, lang in rows}
+    cells = Counter()
+    for i, t, _, _ in rows:
+        cells[cell_of[i]] += len(t.split())
+    total = sum(cells.values())
+    goals = []
+    for k, target in enumerate(MIXING_TARGETS.values()):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[k]] += n
+        raw = {v: target.get(v, n / total) if isinstance(target, dict) else n**target
+               for v, n in have.items()}
+        goals.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    raked = dict(cells)
+    for _ in range(300):
+        for k, goal in enumerate(goals):
+            have = defaultdict(float)
+            for c, w in raked.items():
+                have[c[k]] += w
+            raked = {c: w * goal[c[k]] * total / have[c[k]] for c, w in raked.items()}
+    weight = {c: raked[c] / n for c, n in cells.items()}
+    low, high = 0.0, 1 / min(weight.values())
+    for _ in range(100):
+        mid = (low + high) / 2
+        kept = sum(min(1, weight[c] * mid) * n for c, n in cells.items())
+        low, high = (mid, high) if kept < keep * total else (low, mid)
+    ids = spark.createDataFrame([(i,) for i in cell_of], "i long")
+    draws = {r["i"]: (r["h"] % 2**64 >> 11) / 2**53
+             for r in ids.select("i", F.xxhash64("i", F.lit(8)).alias("h")).collect()}
+    return {i for i in cell_of if draws[i] < min(1, weight[cell_of[i]] * high)}
+
+
+def test_mixing_stage_keeps_what_brute_force_keeps(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.randint(5, 30) + [rng.choice(["| x", "x@y", "License", "z"])]),
+             "rare" if i == 7 else "hot" if i % 3 == 0 else f"s{i % 8}", rng.choice(["en", "de"]))
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"] for r in corpus_pipeline.mixing(spark, df, "").collect()}
+    assert got == drawn_by_hand(spark, rows, 0.5)
+    assert 0.4 * len(rows) < len(got) < 0.6 * len(rows)
