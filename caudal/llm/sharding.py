@@ -16,6 +16,7 @@ from caudal.llm.storage import stored
 
 BUCKET_ROWS = 20_000
 ROUNDS = 24
+MENDS = 24  # at most so many further rounds of even exchanges
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], rank: str) -> DataFrame:
@@ -68,17 +69,57 @@ def exchange(
         ):
             if value:
                 into[key] = value
+    rest = {k: n - linked.get(k, 0) for k, n in wishes.items() if n > linked.get(k, 0)}
+    while path := _cycle(rest):
+        n = min(rest[pair] for pair in path)
+        for pair in path:
+            linked[pair] = linked.get(pair, 0) + n
+            rest[pair] -= n
+            if not rest[pair]:
+                del rest[pair]
     return linked, fill
 
 
-def _round(at: DataFrame, closed: list[int]) -> tuple[DataFrame, list[int], bool]:
+def _cycle(wishes: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """The pairs of a shortest cycle through some shards, none if there is none."""
+    found: list[tuple[int, int]] = []
+    for first in sorted({i for i, _ in wishes}):
+        came: dict[int, int] = {}
+        todo = [first]
+        while todo and first not in came:
+            i = todo.pop(0)
+            for a, j in sorted(wishes):
+                if a == i and j not in came:
+                    came[j] = i
+                    todo.append(j)
+        if first in came:
+            path, at = [(came[first], first)], came[first]
+            while at != first:
+                path.append((came[at], at))
+                at = came[at]
+            if not found or len(path) < len(found):
+                found = path
+    return found
+
+
+def _cuts(at: DataFrame, room: int) -> int:
+    """Shards beyond the first of every group that fits one, summed."""
+    parts = at.filter(F.col("linked") & (F.col("n") <= room)).groupBy("key", "shard").count()
+    return parts.groupBy("key").count().agg(F.sum(F.col("count") - 1)).first()[0] or 0
+
+
+def _round(
+    at: DataFrame, closed: list[int], salt: int = 0, room: int | None = None
+) -> tuple[DataFrame, list[int], bool]:
     """One round: the new places, the shards that have no free document left, whether any moved."""
     open_ = at.filter(F.col("linked") & ~F.col("shard").isin(closed))
+    if room is not None:  # larger groups stay as they are
+        open_ = open_.filter(F.col("n") <= room)
     counts = open_.groupBy("key", "shard").count()
     # most neighbours first; ties go by a hash, so that no shard draws them all
     want = stored(
         counts.groupBy("key").agg(
-            F.max_by("shard", F.struct("count", F.xxhash64("key", "shard"))).alias("want")
+            F.max_by("shard", F.struct("count", F.xxhash64("key", "shard", F.lit(salt)))).alias("want")
         ),
         "want",
     )
@@ -168,6 +209,17 @@ def shards(
         at, closed, more = _round(at, closed)
         if not more or len(closed) >= n_shards:
             break
+    # closed shards too exchange evenly, ties drawn anew, until rounds no longer lower the cuts
+    room = -(-rows.count() // n_shards)
+    cuts, idle = _cuts(at, room), 0
+    for salt in range(1, MENDS + 1):
+        if not cuts or idle >= 3:
+            break
+        tried, _, _ = _round(at, [], salt, room)
+        left = _cuts(tried, room)
+        idle = 0 if left < cuts else idle + 1
+        if left < cuts:
+            at, cuts = tried, left
     slots = ranked(at, ["shard"], ["key", "row"], "slot")
     return rows.drop("key").join(slots, "row").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"),

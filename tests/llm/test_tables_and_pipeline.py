@@ -129,6 +129,23 @@ def test_a_group_larger_than_a_shard(spark):
     assert len(hot) == 3  # 667 rows in shards of 250
 
 
+def test_fewer_groups_are_cut_without_unlinked_documents(spark, monkeypatch):
+    df = spark.range(1200).selectExpr("id doc_id", "concat('t', id % 400) text")
+
+    def cut():
+        got = sharding.shards(df).collect()
+        check_law(got, 8)
+        places = defaultdict(set)
+        for r in got:
+            places[r["doc_id"] % 400].add(r["shard"])
+        return sum(len(p) > 1 for p in places.values())
+
+    mended = cut()
+    monkeypatch.setattr(sharding, "MENDS", 0)
+    before = cut()
+    assert mended < before
+
+
 def test_few_or_no_rows(spark):
     df = spark.range(3).selectExpr("id doc_id", "'same' text")
     check_law(sharding.shards(df).collect(), 8)
