@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from caudal.llm.bpe import bpe_tokens
 from caudal.llm.embedding_dedup import embedding_groups
 from caudal.llm.maxent_lm import scores
+from caudal.llm.merkle import folded, leaf_digest, manifest, proof_digest
 from caudal.llm.mixing import kind_of_text, mix
 from caudal.llm.quality import decide, ledger
 from caudal.llm.secrets import scan
@@ -87,6 +89,20 @@ def op10_maxent(spark: SparkSession, folder: str) -> DataFrame:
     return scores(table(spark, folder, "documents"))
 
 
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = leaf_digest(*[lowered if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed)
+    proved = manifest(table(spark, folder, "documents"), LEAF_FIELDS, carry={"tampered": tampered})
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
@@ -98,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_maxent": op10_maxent,
+    "op13_merkle": op13_merkle,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
