@@ -14,6 +14,7 @@ from caudal.llm.embedding_dedup import embedding_groups
 from caudal.llm.maxent_lm import scores
 from caudal.llm.merkle import folded, leaf_digest, manifest, proof_digest
 from caudal.llm.mixing import kind_of_text, mix
+from caudal.llm.packing import Packing
 from caudal.llm.quality import decide, ledger
 from caudal.llm.secrets import scan
 from caudal.llm.sharding import shards
@@ -89,6 +90,11 @@ def op10_maxent(spark: SparkSession, folder: str) -> DataFrame:
     return scores(table(spark, folder, "documents"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return Packing(table(spark, folder, "documents"), vocabulary, end_id=2, window=4096).pieces
+
+
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_maxent": op10_maxent,
+    "op11_packing": op11_packing,
     "op13_merkle": op13_merkle,
 }
 
