@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.llm.bpe import bpe_tokens
+from caudal.llm.conversations import Repair, damaged
 from caudal.llm.embedding_dedup import embedding_groups
 from caudal.llm.maxent_lm import scores
 from caudal.llm.merkle import folded, leaf_digest, manifest, proof_digest
@@ -95,6 +96,10 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return Packing(table(spark, folder, "documents"), vocabulary, end_id=2, window=4096).pieces
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return Repair(damaged(table(spark, folder, "conversations")), gone_col="gone").report()
+
+
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_maxent": op10_maxent,
     "op11_packing": op11_packing,
+    "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
 
