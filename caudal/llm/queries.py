@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.llm.bpe import bpe_tokens
+from caudal.llm.checking_sql import merkle_sql, repair_sql
 from caudal.llm.conversations import Repair, damaged
 from caudal.llm.embedding_dedup import embedding_groups
 from caudal.llm.maxent_lm import scores
@@ -172,4 +173,6 @@ ORACLE_SQL: dict[str, str] = {
                         + case when word_chars>40*n_words or 10*word_chars<12*n_words
                                then 32 else 0 end as bigint) fail_bits from m)
         select *, fail_bits&3<>0 base_failed, fail_bits=0 kept from b""",
+    "op12_repair": repair_sql(),
+    "op13_merkle": merkle_sql(),
 }
