@@ -6,7 +6,6 @@ window over all of it stays small.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from caudal.functions.numeric import (
     double, exact_mean, legal_reserve, liquidity_gap, liquidity_ratio, minimum_cash, num,
     rate_spread, round_half_up, sum_if,
 )
+from caudal.operators.rollforward import cash_rollforward
 from caudal.operators.support import join_small
 
 # ---- macro --------------------------------------------------------------------------
@@ -186,55 +186,6 @@ def treasury_monthly_flow(ops: DataFrame) -> DataFrame:
     )
 
 
-_FORWARD = (
-    "entidad string, fecha date, disponible_caja_ves double, encaje_legal_bcv_ves double, "
-    "tasa_liquidez double, brecha_liquidez_usd double, fondeo_usd double, inversion_usd double"
-)
-
-
-def cash_rollforward(
-    flows: DataFrame,
-    opening: float = K.OPENING_CASH,
-    floor: float = K.CASH_FLOOR_SHARE,
-    reserve: float = K.RESERVE_SHARE,
-    borrow: float = K.BORROW_FACTOR,
-    invest: float = K.INVEST_FACTOR,
-    trigger: float = K.INVEST_TRIGGER,
-) -> DataFrame:
-    """Cash of each entity from day to day: floor, borrow below the reserve, invest a surplus.
-
-    Takes entidad, fecha, tasa_bcv_usd_ves, flujo_neto_usd, total_depositos_ves and
-    total_depositos_usd, one row per entity and day: a group is one entity's calendar.
-    The gap and the ratio are those before the day's treasury operation, the cash is after it.
-    """
-    columns = ["tasa_bcv_usd_ves", "flujo_neto_usd", "total_depositos_ves", "total_depositos_usd"]
-
-    def roll(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.astype({"entidad": "object"}).sort_values("fecha")
-        cash, out = opening, []
-        for rate, flow, ves, usd in zip(*[days[c].tolist() for c in columns]):
-            cash = max(ves * floor, cash + flow * rate)
-            frozen = ves * reserve
-            ratio = cash / (ves + 1.0)
-            gap = (cash - frozen) / rate
-            lent = placed = None
-            if gap < 0:
-                lent = abs(gap) * borrow
-                cash += lent * rate
-            elif gap > usd * trigger:
-                placed = gap * invest
-                cash -= placed * rate
-            out.append((cash, frozen, ratio, gap, lent, placed))
-        names = [part.split()[0] for part in _FORWARD.split(", ")]
-        result = pd.DataFrame(out, columns=names[2:], index=days.index, dtype="float64")
-        return pd.concat([days[["entidad", "fecha"]], result], axis=1)[names]
-
-    numbers = [double(F.col(c)).alias(c) for c in columns]
-    return flows.select("entidad", "fecha", *numbers).groupBy("entidad").applyInPandas(
-        roll, _FORWARD
-    )
-
-
 def treasury_operations(
     forward: DataFrame, macro: DataFrame,
     funding_rate: float = K.FUNDING_RATE_FACTOR, investing_rate: float = K.INVESTING_RATE_FACTOR,

@@ -63,6 +63,28 @@ def ordered_slices(df: DataFrame, order: list[str], parts: int | None = None) ->
     return materialize(ranged.withColumn("_tramo", F.spark_partition_id().cast("long")))
 
 
+def sorted_slices(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``ordered_slices`` with each slice in order: one task reads one slice, row after row."""
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return materialize(
+        ranged.sortWithinPartitions(*order)
+        .withColumn("_tramo", F.spark_partition_id().cast("long"))
+    )
+
+
+def join_slices(sliced: DataFrame, carried: DataFrame, order: list[str]) -> DataFrame:
+    """Add what is carried into each slice, at most one row of ``carried`` per ``_tramo``.
+
+    A broadcast leaves the slices as they lie. With more slices than may be broadcast they are
+    dealt and sorted anew.
+    """
+    stored = materialize(carried)
+    if stored.count() <= BROADCAST_ROWS:
+        return sliced.join(F.broadcast(stored), "_tramo", "left")
+    joined = sliced.join(stored, "_tramo", "left")
+    return joined.repartition("_tramo").sortWithinPartitions("_tramo", *order)
+
+
 def running_totals(
     df: DataFrame,
     key: str,
