@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caudal import constants as K
@@ -16,6 +16,7 @@ from caudal.functions.numeric import (
     to_usd, to_ves, zero_if_null,
 )
 from caudal.operators.support import join_small
+from caudal.sources.keyed import update_keyed
 
 # ---- one-row figures ----------------------------------------------------------------
 
@@ -271,6 +272,15 @@ def merge_balances(accounts: DataFrame, balances: DataFrame) -> DataFrame:
     return joined.withColumn("saldo_actual", new).select(*accounts.columns)
 
 
+def write_balances(spark: SparkSession, folder: str, balances: DataFrame) -> int:
+    """Update the stored accounts (``store_keyed``) with new balances (id, saldo_nuevo) in place.
+
+    Of several balances of one account the greatest holds. Returns the ranges rewritten.
+    """
+    one = balances.groupBy("id").agg(F.max("saldo_nuevo").alias("saldo_nuevo"))
+    return update_keyed(spark, folder, one, merge_balances)
+
+
 def active_accounts_daily(accounts: DataFrame) -> DataFrame:
     """Active accounts open on each day by currency, from daily openings (no range join)."""
     opened = (

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from caudal.operators import ledger as L
 from caudal.operators import portfolio as P
+from caudal.operators.support import new_folder
 from caudal.plans.registry import Query, sql_instalment, sql_pct
+from caudal.sources.adapters import Bank
+from caudal.sources.keyed import load_keyed, store_keyed
 
 BAD = "estado in ('Vencido', 'En Litigio')"
 AS_OF = "2024-01-15"
 DUE_DAY = "1999-05-15"
 LOAN_DAY = "1995-09-15"  # early enough for clients without an open loan
 
+_BALANCES = """select id, saldo_actual + coalesce(
+                    (select sum(case when tipo_transaccion='Deposito Taquilla' then monto
+                                     else -monto end)
+                     from transacciones where cuenta_id=cuentas.id and estado='Completada'), 0)
+                  saldo_actual
+           from cuentas"""
+
+
+def _balances_written(b: Bank) -> DataFrame:
+    """Accounts stored by ranges of ids, updated in place, and read back with the ranges rewritten.
+
+    The folder stays while the session lasts, as the answer is read from it.
+    """
+    folder = new_folder(b.spark, "cuentas")
+    store_keyed(b.cuentas, folder, ids=1000)
+    ranges = P.write_balances(
+        b.spark, folder, L.closing_balances(b.transacciones, load_keyed(b.spark, folder))
+    )
+    return load_keyed(b.spark, folder).withColumn("rangos", F.lit(ranges))
+
+
 QUERIES: dict[str, Query] = {
     "client_kpis": Query(
         "total_clientes:l clientes_inactivos:l churn_rate_pct:d2",
@@ -198,12 +225,16 @@ QUERIES: dict[str, Query] = {
             b.cuentas, L.closing_balances(b.transacciones, b.cuentas)
         ),
         "cuentas transacciones",
-        """select id, saldo_actual + coalesce(
-                    (select sum(case when tipo_transaccion='Deposito Taquilla' then monto
-                                     else -monto end)
-                     from transacciones where cuenta_id=cuentas.id and estado='Completada'), 0)
-                  saldo_actual
-           from cuentas""",
+        _BALANCES,
+    ),
+    "balances_written": Query(
+        "id:l cliente_id:l saldo_actual:d rangos:l",
+        _balances_written,
+        "cuentas transacciones",
+        f"""select m.id, cliente_id, m.saldo_actual,
+                   (select count(distinct cuentas.id//1000) from cuentas
+                    join transacciones on cuenta_id=cuentas.id) rangos
+            from ({_BALANCES}) m join cuentas on cuentas.id=m.id""",
     ),
     "active_accounts_daily": Query(
         "moneda:t fecha:f cuentas_activas:l",
