@@ -15,7 +15,8 @@ from caudal.functions.numeric import (
 )
 from caudal.functions.text import coordinates, full_name
 from caudal.operators.portfolio import instalment, preferred_account
-from caudal.operators.support import join_small, running_totals
+from caudal.operators.running import running_totals
+from caudal.operators.support import join_small
 
 
 def _fraud() -> Column:
@@ -241,15 +242,23 @@ def _movement():
 def running_balance(
     tx: DataFrame, accounts: DataFrame, parts: int | None = None
 ) -> DataFrame:
-    """Balance after each row: opening balance plus completed movements so far."""
-    rows = tx.select("id", "cuenta_id", "fecha_hora", _movement().alias("mov"))
-    upto = running_totals(
-        rows, "cuenta_id", ["fecha_hora", "id"], {"acumulado": F.col("mov")}, parts
+    """Balance after each row: opening balance plus completed movements so far.
+
+    Openings enter as rows that stand before an account's movements, so the ledger is shuffled
+    once and meets no other table. Rows of unknown accounts are left out.
+    """
+    rows = tx.select("id", "cuenta_id", "fecha_hora", _movement().alias("mov"),
+                     F.lit(0).alias("apertura"))
+    openings = accounts.select(
+        F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.col("id").alias("cuenta_id"),
+        F.lit(None).cast(rows.schema["fecha_hora"].dataType).alias("fecha_hora"),
+        F.col("saldo_actual").cast("decimal(18,2)").alias("mov"), F.lit(1).alias("apertura"),
     )
-    opening = accounts.select(F.col("id").alias("cuenta_id"), "saldo_actual")
-    return upto.join(opening, "cuenta_id").select(
-        "id", "cuenta_id", (F.col("saldo_actual") + F.col("acumulado")).alias("saldo")
+    upto = running_totals(
+        rows.unionByName(openings), "cuenta_id", ["fecha_hora", "id"],
+        {"saldo": F.col("mov"), "abierta": F.col("apertura")}, parts,
     )
+    return upto.filter("apertura = 0 and abierta > 0").select("id", "cuenta_id", "saldo")
 
 
 def closing_balances(tx: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.functions.numeric import count_if, double, num
-from caudal.operators.support import running_totals
+from caudal.operators.running import running_totals
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
