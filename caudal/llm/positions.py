@@ -42,20 +42,22 @@ def prefix(sums: DataFrame, pos: str, value: str, before: str) -> DataFrame:
     Positions are whole numbers from 0, one row each. They are summed by blocks of ``FAN``, the
     blocks' sums in the same way, so no task orders more than ``FAN`` rows at once.
     """
-    kept = stored(sums.select(F.col(pos).cast("long").alias(pos), value), "sums")
-    last = kept.agg(F.max(pos)).first()[0] or 0
-    block = F.floor(F.col(pos) / F.lit(FAN)).cast("long")
-    inside = (
-        Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = kept.withColumn("_block", block).withColumn(
-        before, F.coalesce(F.sum(value).over(inside), F.lit(0))
+    kept = stored(
+        sums.select(F.col(pos).cast("long").alias("_pos"), F.col(value).alias("_value")), "sums"
     )
-    if last < FAN:
-        return local.drop("_block")
-    outer = prefix(
-        local.groupBy("_block").agg(F.sum(value).alias("_total")), "_block", "_total", "_outer"
+    last = kept.agg(F.max("_pos")).first()[0] or 0
+    inside = (
+        Window.partitionBy("_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return local.join(outer, "_block").select(
-        pos, value, (F.col(before) + F.col("_outer")).alias(before)
+    summed = kept.withColumn("_block", F.floor(F.col("_pos") / F.lit(FAN)).cast("long"))
+    summed = summed.withColumn("_in", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    earlier = F.lit(0)
+    if last >= FAN:
+        blocks = summed.groupBy("_block").agg(F.sum("_value").alias("_total"))
+        summed = summed.join(
+            prefix(blocks, "_block", "_total", "_outer").drop("_total"), "_block"
+        )
+        earlier = F.col("_outer")
+    return summed.select(
+        F.col("_pos").alias(pos), F.col("_value").alias(value), (F.col("_in") + earlier).alias(before)
     )
