@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caudal.functions.rules import default_target
+from caudal.operators import forecast as W
 from caudal.operators import features as X
 from caudal.operators import metrics as M
 from caudal.operators import models
@@ -283,3 +284,51 @@ QUERIES["fraud_history_features"] = Query(
              join ({ledger.QUERIES["amount_vs_history"].sql}) h using (id)
              join ({ledger.QUERIES["new_device_flag"].sql}) d using (id)""",
 )
+
+# Each day from the days before it, by the one regressor that SQL can follow: the day before.
+_WALK = f"""
+    select fecha, x, p lagged,
+           case when regr_count(x, p) over w >= 30
+                then regr_intercept(x, p) over w + regr_slope(x, p) over w * p end p
+    from ({_ERRORS.replace("select x, lag(x)", "select fecha, x, lag(x)")})
+    window w as (order by fecha rows between unbounded preceding and 1 preceding)"""
+
+
+def _walk(b: Bank) -> DataFrame:
+    gap = "brecha_liquidez_usd"
+    daily = gap_free(b.resumen_liquidez_diario.select("fecha", gap))
+    before = F.lag(gap).over(Window.orderBy("fecha"))
+    return W.walk_forward(daily.withColumn("ayer", before), gap, ["ayer"])
+
+
+def _walk_errors(b: Bank) -> DataFrame:
+    gap = "brecha_liquidez_usd"
+    daily = gap_free(b.resumen_liquidez_diario.select("fecha", gap))
+    return W.forecast_errors({"retardo": W.lagged(daily, gap), "regresion": _walk(b)}, gap)
+
+
+def _seasonal_walk(b: Bank) -> DataFrame:
+    """Deposits of 1, 7 and 30 days before, the rate spread and the season."""
+    gap = "brecha_liquidez_usd"
+    days = liquidity_features(b.resumen_liquidez_diario, b.indicadores_macro)
+    days = days.withColumns(W.season(F.col("fecha")))
+    inputs = [c for c in days.columns if c not in ("fecha", gap)]
+    return W.walk_forward(days, gap, inputs, warmup=2 * len(inputs), ridge=1e-3)
+
+
+QUERIES |= {
+    "gap_walk_forward": Query(
+        "fecha:f brecha_liquidez_usd:d pronostico:d1", _walk, "resumen_liquidez_diario",
+        f"select fecha, x brecha_liquidez_usd, p pronostico from ({_WALK})",
+    ),
+    "gap_walk_forward_error": Query(
+        "modelo:t n:l mae:d3 rmse:d3", _walk_errors, "resumen_liquidez_diario",
+        f"""select modelo, count(e) n, avg(abs(e)) mae, sqrt(avg(e*e)) rmse
+            from (select 'retardo' modelo, x-lagged e from ({_WALK}) where p is not null
+                  union all select 'regresion', x-p from ({_WALK}) where p is not null)
+            group by 1""",
+    ),
+    "gap_seasonal_forecast": Query(
+        "fecha:f brecha_liquidez_usd:d pronostico:d", _seasonal_walk
+    ),
+}
