@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from caudal import constants as K
+from caudal.functions.numeric import round_half_up
 from caudal.functions.rules import default_target
 from caudal.operators import forecast as W
 from caudal.operators import features as X
 from caudal.operators import metrics as M
 from caudal.operators import models
+from caudal.operators.isolation import isolation_scores
 from caudal.operators.liquidity import gap_free, liquidity_features
 from caudal.operators.support import materialize
 from caudal.plans import ledger
@@ -332,3 +335,87 @@ QUERIES |= {
         "fecha:f brecha_liquidez_usd:d pronostico:d", _seasonal_walk
     ),
 }
+
+
+# ---- isolation trees ----------------------------------------------------------------
+
+ISOLATED = [*X.FRAUD_NUMERIC]
+
+
+def _digest_sql(text: str) -> str:
+    return f"((cast(cast('0x' || left(md5({text}), 8) as bigint) as double)+0.5e0)/4294967296e0)"
+
+
+def _isolation_sql(features: str, columns: list[str], trees: int, size: int, depth: int) -> str:
+    """The same trees and paths, a CTE per level."""
+    d, seed = len(columns), K.SEED
+    draw = lambda what: _digest_sql(f"'{seed}:' || tree || ':' || node || ':{what}'")
+    x = ", ".join(
+        f"coalesce(floor(cast({c} as double)*1e6+0.5e0)/1e6, 0e0)" for c in columns
+    )
+    ctes = [
+        f"rasgos as (select id, es_fraude, [{x}] x from ({features}))",
+        f"""g0 as (select tree, x, 0 node from (
+              select tree, x, row_number() over (partition by tree order by marca, id) k
+              from (select id, x, tree, {_digest_sql(f"'{seed}:' || tree || ':' || id")} marca
+                    from rasgos, unnest(range({trees})) t(tree))) where k<={size})""",
+    ]
+    for k in range(depth):
+        ctes.append(f"""v{k} as (
+            select *, row_number() over (partition by tree, node order by f)-1 i,
+                   count(*) over (partition by tree, node) m
+            from (select tree, node, f, min(x[f+1]) lo, max(x[f+1]) hi
+                  from g{k}, unnest(range({d})) t(f) where node>={2**k - 1} group by 1, 2, 3)
+            where hi>lo)""")
+        ctes.append(f"""s{k} as (
+            select tree, node, f, corte from (
+              select *, lo+{draw("cut")}*(hi-lo) corte from v{k}
+              where i=cast(floor({draw("f")}*m) as bigint)) where corte>lo)""")
+        ctes.append(f"""g{k + 1} as (
+            select tree, x, case when f is null then node
+                                 else 2*node+1+cast(x[f+1]>=corte as int) end node
+            from g{k} left join s{k} using (tree, node))""")
+    splits = " union all ".join(f"select * from s{k}" for k in range(depth))
+    more = "2e0*(ln(n-1e0)+0.5772156649015329e0)-2e0*(n-1e0)/n"
+    ctes.append(f"cortes as ({splits})")
+    ctes.append(f"""hojas as (select tree, node, floor(log2(node+1))+case when n>2 then {more}
+                                      when n=2 then 1e0 else 0e0 end largo
+                   from (select tree, node, cast(count(*) as double) n
+                         from g{depth} group by 1, 2))""")
+    ctes.append(f"""baja as (
+        select id, tree, x, 0 node from rasgos, unnest(range({trees})) t(tree)
+        union all
+        select id, tree, x, 2*node+1+cast(x[f+1]>=corte as int)
+        from baja join cortes using (tree, node))""")
+    return f"""
+        with recursive {", ".join(ctes)}
+        select id, es_fraude, camino, pow(2e0, -camino/(
+                   select greatest(1e0, case when n>2 then {more} when n=2 then 1e0 else 0e0 end)
+                   from (select cast(count(*) as double) n from g0 where tree=0))) anomalia
+        from (select id, sum(largo)/{trees}e0 camino
+              from (select id, tree, max(node) node from baja group by 1, 2)
+                   join hojas using (tree, node) group by 1) join rasgos using (id)"""
+
+
+def _isolation(b: Bank) -> DataFrame:
+    # rounded, so that values which are equal but for their last bit are not cut apart
+    features = X.fraud_features(b.transacciones, b.cuentas, b.clientes, b.centroides)
+    return isolation_scores(
+        features.withColumns({c: round_half_up(F.col(c), 6) for c in ISOLATED}), ISOLATED
+    )
+
+
+def _isolation_auc(b: Bank) -> DataFrame:
+    """How well the scores, made without labels, find the marked frauds."""
+    rounded = F.floor(F.col("anomalia") * 1000 + 0.5)
+    return M.auc_gini(_isolation(b).withColumn("anomalia", rounded), "es_fraude", "anomalia")
+
+
+_ISOLATION = _isolation_sql(QUERIES["fraud_features"].sql, ISOLATED, 50, 256, 8)
+QUERIES |= {
+    "fraud_isolation": Query(
+        "id:l es_fraude:l camino:d6 anomalia:d6", _isolation,
+        QUERIES["fraud_features"].tables, _ISOLATION,
+    ),
+    "fraud_isolation_auc": Query("positivos:l negativos:l auc:d6 gini:d6", _isolation_auc),
+}
