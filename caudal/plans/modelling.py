@@ -13,10 +13,12 @@ from caudal.operators import forecast as W
 from caudal.operators import features as X
 from caudal.operators import metrics as M
 from caudal.operators import models
+from caudal.operators.bootstrap import metric_intervals, poisson_steps
 from caudal.operators.isolation import isolation_scores
 from caudal.operators.liquidity import gap_free, liquidity_features
 from caudal.operators.support import materialize
 from caudal.plans import ledger
+from caudal.plans.credit import BAD
 from caudal.plans.registry import Query
 from caudal.sources.adapters import Bank
 
@@ -419,3 +421,48 @@ QUERIES |= {
     ),
     "fraud_isolation_auc": Query("positivos:l negativos:l auc:d6 gini:d6", _isolation_auc),
 }
+
+
+# ---- intervals of model quality -----------------------------------------------------
+
+
+def _poisson_sql(share: str) -> str:
+    steps = poisson_steps()
+    whens = " ".join(f"when {share}<{c!r} then {k}" for k, c in enumerate(steps))
+    return f"case {whens} else {len(steps)} end"
+
+
+def _intervals(b: Bank) -> DataFrame:
+    people = b.clientes.select(F.col("id").alias("cliente_id"), "score_credito")
+    rows = b.creditos.join(people, "cliente_id").select(
+        "id", default_target(F.col("estado")).alias("y"),
+        (850 - F.col("score_credito")).alias("riesgo"),
+    )
+    return metric_intervals(rows, "y", "riesgo")
+
+
+QUERIES["metric_intervals"] = Query(
+    "metrica:t estimacion:d6 bajo:d6 alto:d6 replicas:l", _intervals, "creditos clientes",
+    f"""with filas as (
+          select c.id, 850-score_credito s, case when {BAD} then 1 else 0 end y
+          from creditos c join clientes p on p.id=cliente_id),
+        pesos as (
+          select replica, s, y, case when replica=0 then 1 else {_poisson_sql("u")} end w
+          from (select *, {_digest_sql(f"'{K.SEED}:' || replica || ':' || id")} u
+                from filas, unnest(range(41)) r(replica))),
+        cuentas_r as (select replica, s, sum(w*y) pos, sum(w*(1-y)) neg from pesos
+                      where w>0 group by 1, 2),
+        hasta as (select *, sum(pos) over w p, sum(neg) over w n,
+                         cast(sum(pos) over r as double) tp, cast(sum(neg) over r as double) tn
+                  from cuentas_r window w as (partition by replica order by s),
+                                        r as (partition by replica)),
+        medidas as (
+          select replica, sum(pos*(n-neg+neg/2e0)/(tp*tn)) auc,
+                 sum(pos/tp*(tp-p+pos)/((tp-p+pos)+(tn-n+neg))) pr_auc from hasta group by 1),
+        largo as (select replica, 'auc' metrica, auc x from medidas
+                  union all select replica, 'pr_auc', pr_auc from medidas)
+        select metrica, max(x) filter (replica=0) estimacion,
+               quantile_cont(x, 0.025) filter (replica>0) bajo,
+               quantile_cont(x, 0.975) filter (replica>0) alto,
+               count(x) filter (replica>0) replicas from largo group by 1""",
+)
