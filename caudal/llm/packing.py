@@ -11,6 +11,7 @@ which need no padding. So no sequence is padded.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,12 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.llm.blocks import blocks
-from caudal.llm.bpe import load_vocabulary, split_chunks
+from caudal.llm.bpe import encode_words, load_vocabulary, split_chunks
 from caudal.llm.positions import prefix
 from caudal.llm.storage import stored
 
 BLOCK_BYTES = 4 << 20
 MEMO_CHUNKS = 400_000
+#: A word of its own between two chunks, and four bytes that no two neighbouring ids hold.
+MARK = "\0"
+BETWEEN = f" {MARK} "
+MARK_BYTES = b"\xff" * 4
 #: Tokens per cell in which open places and residual items are laid side by side.
 CELL = 1 << 16
 
@@ -36,31 +41,64 @@ CELL = 1 << 16
 # ---- encoding -----------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def load_tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, as the library gives them.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+    Texts are cut at the white space that no token crosses, chunks into the vocabulary's words.
+    Chunks and words met before are looked up, each new word is encoded once, all new ones of a
+    block together. Full memos (``MEMO_CHUNKS``) are emptied. A Python worker keeps its encoder
+    from task to task.
+    """
 
+    def __init__(self, path: str) -> None:
+        self.vocab = load_vocabulary(path)
+        self.special = {
+            name: np.array([i], "<u4").tobytes() for name, i in self.vocab.special.items()
+        }
+        self.chunks = dict(self.special)
+        self.words: dict[str, bytes] = {MARK: MARK_BYTES}
+        self.null = encode_words(self.vocab, [MARK.encode()])[0].astype("<u4").tobytes()
+        self.marked = self.vocab.word.findall(f"a{BETWEEN}b") == ["a", MARK, "b"]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > MEMO_CHUNKS:
+            self.chunks = dict(self.special)
+        if len(self.words) > MEMO_CHUNKS:
+            self.words = {MARK: MARK_BYTES}
+        cut = [split_chunks(self.vocab, text) for text in texts]
+        fresh = set().union(*cut).difference(self.chunks)
+        plain = [c for c in fresh if self.marked and MARK not in c]
+        words = self._words(BETWEEN.join(plain))
+        self._learn(set(words))
+        raw = b"".join(map(self.words.__getitem__, words))
+        self.chunks.update(zip(plain, raw.split(MARK_BYTES), strict=bool(plain)))
+        for chunk in fresh.difference(plain):
+            words = self._words(chunk)
+            self._learn(set(words))
+            self.chunks[chunk] = b"".join(
+                self.null if w == MARK else self.words[w] for w in words
+            )
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in cut]
 
-def encoded(path: str, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
-    """Ids of every text as little-endian unsigned 32-bit integers.
+    def _words(self, text: str) -> list[str]:
+        """The words of one chunk, or of many with a mark between them."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.vocab.word.findall(text.lower())
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.words))
+        ids, sizes = encode_words(self.vocab, [w.encode() for w in new])
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for word, end in zip(new, (np.cumsum(sizes) * 4).tolist(), strict=True):
+            self.words[word] = raw[at:end]
+            at = end
 
-    Texts are cut at the white space that no token crosses; chunks not yet ``known`` are encoded
-    by the library in one batch, each once. A full memo (``MEMO_CHUNKS``) is emptied first.
-    """
-    vocab, tokenizer = load_vocabulary(path), load_tokenizer(path)
-    if len(known) > MEMO_CHUNKS:
-        known.clear()
-    cut = [split_chunks(vocab, text) for text in texts]
-    fresh = list({c for chunks in cut for c in chunks if c not in known})
-    found = tokenizer.encode_batch(fresh, add_special_tokens=False)
-    for chunk, encoding in zip(fresh, found, strict=True):
-        known[chunk] = np.array(encoding.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 _ITEM = (
@@ -85,11 +123,10 @@ def items_of(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, full = TaskContext.get().partitionId(), 0, 0
         ranks: dict[int, int] = {}
-        known: dict[str, bytes] = {}
         for block in blocks(batches, "text", BLOCK_BYTES):
             texts = pc.fill_null(block["text"], "").to_pylist()
             rows = []
-            for raw in encoded(vocabulary, texts, known):
+            for raw in encoder(vocabulary).encode(texts):
                 ids = memoryview(raw + end)
                 n = len(ids) // 4
                 windows, item = divmod(n, window)
@@ -415,16 +452,29 @@ class Packing:
             prefix(sums, "part", "items", "before").drop("items"), "part"
         ).select("part", "row", "item", (F.col("_in") + F.col("before")).alias("t"))
         line = stored(line, "residual")
-        cut = _fill(line, open_, total).unionByName(
-            _further(line, total, tokens, self.window, first)
+        laid = stored(
+            _fill(line, open_, total).unionByName(
+                _further(line, total, tokens, self.window, first)
+            ),
+            "laid",
         )
-        ids = self.tokens.select("part", "row", "id", "doc_tokens", "item", "ids")
+        known = left.select("part", "row", "id", "doc_tokens", "item", "item_crc")
         start = F.col("doc_tokens") - F.col("item") + F.col("at")
-        piece = F.substring("ids", (start * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-        return cut.join(ids, ["part", "row"]).select(
-            "part", "row", "id", start.alias("start"), "length",
-            F.crc32(piece).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        there = laid.join(known, ["part", "row"]).select(
+            "part", "row", "id", start.alias("start"), "length", "item_crc", "doc_tokens",
+            "sequence_id", "offset", (F.col("length") < F.col("item")).alias("cut"),
+        )
+        place = ["part", "row", "id", "start", "length"]
+        whole = there.filter("not cut").select(
+            *place, F.col("item_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        )
+        begin, size = (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")
+        texts = self.tokens.filter("item > 0").select("part", "row", "ids")
+        parted = there.filter("cut").join(texts, ["part", "row"]).select(
+            *place, F.crc32(F.substring("ids", begin, size)).alias("ids_crc32"), "doc_tokens",
+            "sequence_id", "offset",
         )
+        return whole.unionByName(parted)
 
     def sequences(self) -> DataFrame:
         """``sequence_id`` and ``ids`` (array<int>) of every sequence, at most a window each."""
