@@ -10,6 +10,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -45,36 +46,84 @@ ENOUGH = 1_000  # ordinary tokens from which on thresholds are chosen from sampl
 FALSE_COST = 10  # a false share counts so many times a missed share
 
 
+#: A text is scanned in pieces of about so many characters, cut before a character that no pattern
+#: holds, before a single space that touches neither another space nor ``:`` or ``=``, or before a
+#: ``:`` that no label, quote or space precedes. No match and no token crosses such a place.
+PIECE = 4096
+_BORDER = (
+    r"""(?=[^A-Za-z0-9+/_.=\-"'\x20:])|(?=(?<=[^\x20:=])\x20[^\x20:=])"""
+    r"""|(?=(?<![\x20"'])(?<!(?i:password|passwd|secret|token|api_key|apikey)):)"""
+)
+_PIECES = rf"(?s).{{{PIECE},}}?(?:{_BORDER}|\z)|.+"
+#: Matches of one piece are placed in runs of so many, as a run's list is copied for each of them.
+RUN = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pieces(text: Column) -> Column:
+    """The text cut at places that no match crosses."""
+    cut = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(cut)
+
+
+def starts_of(lengths: Column) -> Column:
+    """Running sums before every entry; in runs, so that no long list grows entry by entry."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def walk(values: Column, first: Column) -> Column:
+        return F.aggregate(
+            values, F.struct(none.alias("found"), first.alias("at")),
+            lambda acc, n: F.struct(
+                F.concat(acc["found"], F.array(acc["at"])).alias("found"),
+                (acc["at"] + n).alias("at"),
+            ),
+        )
+
+    def placed(all_lengths: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_lengths) - 1) / F.lit(RUN)).cast("int"))
+        runs = F.transform(numbers, lambda r: walk(
+            F.slice(all_lengths, r * RUN + 1, RUN), F.lit(0)
+        ))
+        return bound(runs, lambda rs: bound(
+            walk(F.transform(rs, lambda r: r["at"]), F.lit(0))["found"],
+            lambda firsts: F.flatten(F.transform(
+                rs, lambda r, k: F.transform(r["found"], lambda at: at + F.get(firsts, k))
+            )),
+        ))
+
+    return bound(lengths, lambda n: F.when(F.size(n) > 0, placed(n)).otherwise(none))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value>>, in code points.
 
     Matches stand between the pieces that a split by the same pattern leaves, so their places
     follow from the lengths of both.
     """
-    pieces = F.split(text, pattern, -1)
+    between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     zipped = F.arrays_zip(
-        F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), part.alias("part")
+        F.slice(between, 1, F.size(whole)).alias("piece"), whole.alias("whole"),
+        part.alias("part"),
     )
     empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
-    walked = F.aggregate(
-        zipped,
-        F.struct(empty.alias("found"), F.lit(0).alias("at")),
-        lambda acc, m: F.struct(
-            F.concat(
-                acc["found"],
-                F.array(F.struct(
-                    (acc["at"] + F.length(m["piece"])).alias("start"),
-                    (acc["at"] + F.length(m["piece"]) + F.length(m["whole"])).alias("end"),
-                    m["part"].alias("value"),
-                )),
-            ).alias("found"),
-            (acc["at"] + F.length(m["piece"]) + F.length(m["whole"])).alias("at"),
-        ),
-        lambda acc: acc["found"],
+    lengths = lambda z: F.transform(
+        z, lambda m: F.length(m["piece"]) + F.length(m["whole"])
     )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    found = bound(zipped, lambda z: F.transform(
+        F.arrays_zip(z.alias("m"), starts_of(lengths(z)).alias("at")),
+        lambda x: F.struct(
+            (x["at"] + F.length(x["m"]["piece"])).alias("start"),
+            (x["at"] + F.length(x["m"]["piece"]) + F.length(x["m"]["whole"])).alias("end"),
+            x["m"]["part"].alias("value"),
+        ),
+    ))
+    return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -267,6 +316,7 @@ def scan(
     models: MarkovModels | None = None,
     threshold: float | None = None,
     carry: tuple[str, ...] = (),
+    mark: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_assign``, ``n_access``, ``n_hex``, ``n_markov``,
     ``base_sha256``, ``spans``, and ``found`` (array<struct<start, kind_no, end, kind>>).
@@ -276,6 +326,8 @@ def scan(
     covers as a whole and scores ``threshold`` or more; left out, the models' threshold for its length. A null text counts as empty: no spans, the digest of
     an empty list. Repeated rows and null ids come back as they are; an empty table gives an
     empty result; other columns than the id and ``carry`` are not kept. No shuffle after training.
+    With ``mark`` the column ``masked`` holds the text (a null one as empty) with every span replaced
+    by it, overlapping spans as one. A long text is scanned in pieces, so the work grows with it.
     """
     models = models or train(docs, id_col, text_col)
     kept = [F.col(f"`{c}`") for c in carry]
@@ -283,49 +335,71 @@ def scan(
         F.col(f"`{id_col}`").alias("_id"), F.struct(F.lit(0), *kept).alias("_carry"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"),
     )
-    base = read.select(
-        "_id", "_carry", *[c.alias(f"_{k}") for k, c in base_spans(F.col("_text")).items()],
-        matches(F.col("_text"), TOKEN).alias("_tokens"),
+    least = lambda t: (
+        models.threshold(F.length(t["value"])) if threshold is None else F.lit(float(threshold))
     )
 
     def numbered(kind: str, spans: Column) -> Column:
-        k = KINDS.index(kind)
         return F.transform(
             spans,
             lambda m: F.struct(
-                m["start"].alias("start"), F.lit(k).alias("kind_no"), m["end"].alias("end"),
-                F.lit(kind).alias("kind"),
+                m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"),
+                m["end"].alias("end"), F.lit(kind).alias("kind"),
             ),
         )
 
-    ranked = base.withColumn(
-        "_base", F.sort_array(F.concat(*[numbered(k, F.col(f"_{k}")) for k in PATTERNS]))
-    )
-    free = lambda t: ~F.exists(
-        F.col("_base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])
-    )
-    least = lambda t: (
-        models.threshold(F.length(t["value"])) if threshold is None else F.lit(float(threshold))
-    )
-    random = F.filter(
-        F.col("_tokens"), lambda t: free(t) & (models.score(_codes(t["value"])) >= least(t))
-    )
-    scored = ranked.withColumn("_markov", numbered("markov", random)).withColumn(
-        "found", F.sort_array(F.concat("_base", "_markov"))
-    )
+    def spans_of(piece: Column) -> Column:
+        base = F.concat(*[numbered(k, c) for k, c in base_spans(piece).items()])
+
+        def both(spans: Column) -> Column:
+            random = F.filter(
+                matches(piece, TOKEN),
+                lambda t: ~F.exists(
+                    spans, lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])
+                ) & (models.score(_codes(t["value"])) >= least(t)),
+            )
+            return F.sort_array(F.concat(spans, numbered("markov", random)))
+
+        return bound(base, both)
+
+    scanned = F.transform(pieces(F.col("_text")), lambda p: F.struct(
+        F.length(p).alias("n"), spans_of(p).alias("spans"), p.alias("piece")
+    ))
+
+    def joined(parts: Column) -> Column:
+        starts = starts_of(F.transform(parts, lambda p: p["n"]))
+        moved = lambda at: lambda m: F.struct(
+            (m["start"] + at).alias("start"), m["kind_no"].alias("kind_no"),
+            (m["end"] + at).alias("end"), m["kind"].alias("kind"),
+        )
+        found = F.flatten(F.transform(
+            F.arrays_zip(parts.alias("p"), starts.alias("at")),
+            lambda x: F.transform(x["p"]["spans"], moved(x["at"])),
+        ))
+        out = [found.alias("found")]
+        if mark is not None:
+            out.append(F.array_join(F.transform(
+                parts, lambda p: _masked_piece(p["piece"], p["spans"], mark)
+            ), "").alias("masked"))
+        return F.struct(*out)
+
+    scored = read.select("_id", "_carry", bound(scanned, joined).alias("_found"))
+    found = F.col("_found.found")
+    count = lambda kind: F.size(F.filter(found, lambda m: m["kind"] == kind))
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"])), ","
     )
     return scored.select(
         F.col("_id").alias(id_col), *[F.col(f"_carry.`{c}`") for c in carry],
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(listed(F.col("_base")), 256).alias("base_sha256"),
-        listed(F.col("found")).alias("spans"), "found",
+        *[count(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed(F.filter(found, lambda m: m["kind"] != "markov")), 256)
+        .alias("base_sha256"),
+        listed(found).alias("spans"), found.alias("found"),
+        *([F.col("_found.masked").alias("masked")] if mark is not None else []),
     )
 
 
-def masked(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """The text with every span replaced by ``mark``; overlapping spans become one."""
+def _masked_piece(text: Column, found: Column, mark: str) -> Column:
     walked = F.aggregate(
         found,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -341,3 +415,27 @@ def masked(text: Column, found: Column, mark: str = "[secret]") -> Column:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     return F.when(F.size(found) > 0, walked).otherwise(text)
+
+
+def masked(text: Column, found: Column, mark: str = "[secret]") -> Column:
+    """The text with every span replaced by ``mark``; overlapping spans become one.
+
+    Every piece of the text takes the spans that begin in it; ``scan(mark=...)`` does so while it
+    has them at hand.
+    """
+    def each(parts: Column) -> Column:
+        zipped = F.arrays_zip(
+            parts.alias("p"), starts_of(F.transform(parts, lambda p: F.length(p))).alias("at")
+        )
+        return F.array_join(F.transform(zipped, lambda x: _masked_piece(
+            x["p"],
+            F.transform(
+                F.filter(found, lambda m: (m["start"] >= x["at"])
+                         & (m["start"] < x["at"] + F.length(x["p"]))),
+                lambda m: F.struct((m["start"] - x["at"]).alias("start"),
+                                   (m["end"] - x["at"]).alias("end")),
+            ),
+            mark,
+        )), "")
+
+    return F.when(F.size(found) > 0, bound(pieces(text), each)).otherwise(text)

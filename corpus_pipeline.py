@@ -15,7 +15,7 @@ from caudal.llm.bpe import bpe_tokens
 from caudal.llm.mixing import mix
 from caudal.llm.quality import decide, ledger
 from caudal.llm.queries import MIXING_KEEP, MIXING_TARGETS, mixing_dimensions
-from caudal.llm.secrets import masked, scan
+from caudal.llm.secrets import scan
 from caudal.llm.simhash import keep_one
 from caudal.operators.support import new_folder
 
@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; ``n_chars`` follows the text."""
-    found = scan(packed(docs), carry=("doc",)).select("doc", "found")
-    text = masked(F.col("doc.text"), F.col("found"))
+    found = scan(packed(docs), carry=("doc",), mark="[secret]").select("doc", "found", "masked")
     changed = F.size("found") > 0
+    text = F.when(changed, F.col("masked")).otherwise(F.col("doc.text"))
     fresh = found.withColumn("_text", text).withColumn(
         "_chars", F.when(changed, F.length("_text")).otherwise(F.col("doc.n_chars"))
     )
