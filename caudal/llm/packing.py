@@ -28,12 +28,13 @@ from caudal.llm.bpe import encode_words, load_vocabulary, split_chunks
 from caudal.llm.positions import prefix
 from caudal.llm.storage import stored
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 MEMO_CHUNKS = 400_000
 #: A word of its own between two chunks, and four bytes that no two neighbouring ids hold.
 MARK = "\0"
 BETWEEN = f" {MARK} "
 MARK_BYTES = b"\xff" * 4
+STOPS = ".,;:!?"
 #: Tokens per cell in which open places and residual items are laid side by side.
 CELL = 1 << 16
 
@@ -58,6 +59,9 @@ class Encoder:
         self.chunks = dict(self.special)
         self.words: dict[str, bytes] = {MARK: MARK_BYTES}
         self.null = encode_words(self.vocab, [MARK.encode()])[0].astype("<u4").tobytes()
+        self.letters = all(
+            self.vocab.word.findall(f"az s{x} b{x}") == ["az", "s", x, "b", x] for x in STOPS
+        )
         self.marked = self.vocab.word.findall(f"a{BETWEEN}b") == ["a", MARK, "b"]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -67,12 +71,16 @@ class Encoder:
             self.words = {MARK: MARK_BYTES}
         cut = [split_chunks(self.vocab, text) for text in texts]
         fresh = set().union(*cut).difference(self.chunks)
-        plain = [c for c in fresh if self.marked and MARK not in c]
+        alone, ended, plain, odd = self._sorted(fresh)
+        low, heads = [c.lower() for c in alone], [c[:-1].lower() for c in ended]
         words = self._words(BETWEEN.join(plain))
-        self._learn(set(words))
-        raw = b"".join(map(self.words.__getitem__, words))
+        self._learn({*words, *low, *heads, *STOPS})
+        of = self.words.__getitem__
+        self.chunks.update(zip(alone, map(of, low), strict=True))
+        self.chunks.update((c, of(h) + of(c[-1])) for c, h in zip(ended, heads, strict=True))
+        raw = b"".join(map(of, words))
         self.chunks.update(zip(plain, raw.split(MARK_BYTES), strict=bool(plain)))
-        for chunk in fresh.difference(plain):
+        for chunk in odd:
             words = self._words(chunk)
             self._learn(set(words))
             self.chunks[chunk] = b"".join(
@@ -81,6 +89,21 @@ class Encoder:
         known = self.chunks.__getitem__
         return [b"".join(map(known, chunks)) for chunks in cut]
 
+    def _sorted(self, fresh: set[str]) -> tuple[list[str], ...]:
+        """Chunks that are one word of letters, such with a stop behind, others, and the odd ones
+        that hold the mark."""
+        alone, ended, plain, odd = [], [], [], []
+        for c in fresh:
+            if self.letters and c.isascii():
+                if c.isalpha():
+                    alone.append(c)
+                    continue
+                if c[-1] in STOPS and c[:-1].isalpha():
+                    ended.append(c)
+                    continue
+            (plain if self.marked and MARK not in c else odd).append(c)
+        return alone, ended, plain, odd
+
     def _words(self, text: str) -> list[str]:
         """The words of one chunk, or of many with a mark between them."""
         if not text.isascii():

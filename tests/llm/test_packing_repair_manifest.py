@@ -367,3 +367,20 @@ def test_manifest_stores_every_few_levels_only(spark):
                                      "id data")
     tree = Tree(df, 8, 3)
     assert [s.selectExpr("sum(size(nodes)) n").first()["n"] for s in tree.stores] == [700, 2]
+
+
+def test_the_encoder_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE_FILE)
+    rng = random.Random(10)
+    words = ["don't.", "it's,", "a.b.", "x..", "I.", "s's", "D;", "İ.", "É.", "a\0b", "\0", "é́",
+             "ΑΣ", "中文", "3.14", "<|endoftext|>", "Loan", "RATE:", "ll!", "\x1c", "_", "😀"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.randint(0, 30)))
+             for _ in range(200)] + ["", "   "]
+    monkeypatch.setattr(packing, "MEMO_CHUNKS", 10)
+    encoder = packing.Encoder(BPE_FILE)
+    for k in range(0, len(texts), 20):
+        part = texts[k : k + 20]
+        want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert encoder.encode(part) == want
