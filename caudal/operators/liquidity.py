@@ -60,6 +60,23 @@ def fx_devaluation(macro: DataFrame) -> DataFrame:
     )
 
 
+def with_last_known(
+    df: DataFrame, series: DataFrame, day: str = "fecha", found: str = "fecha_tasa"
+) -> DataFrame:
+    """Rows with the values of the last day of ``series`` (by ``fecha``) up to their own.
+
+    The series has one row per day, with gaps. Its days are repeated up to the next one and, behind
+    its end, to the last day of ``df``; so every day asked for is met by equality, and the
+    large side is neither ordered nor shuffled. A row before the series has nulls, as has one
+    without a day. ``found`` names the day that the values are of.
+    """
+    last = df.agg(F.max(day)).scalar()
+    days = series.withColumn(found, F.col("fecha")).withColumn("_fin", last)
+    every = carry_forward(days, "fecha", until=F.col("_fin")).drop("_fin")
+    every = every.select(*[F.col(c).alias(day if c == "fecha" else c) for c in every.columns])
+    return join_small(df, every, day, "left")
+
+
 def month_rate_lookup(
     df: DataFrame, day: str, macro: DataFrame,
     inflation: float = K.DEFAULT_INFLATION, gdp: float = K.DEFAULT_GDP,
