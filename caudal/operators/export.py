@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from caudal import constants as K
 from caudal.functions.text import sql_literal
 from caudal.operators.quality import row_counts
+from caudal.operators.running import running_totals
 from caudal.operators.support import join_small, materialize
+from caudal.sources.schemas import TABLES
 from caudal.sources.tables import CSV_WRITING
 
 Tables = dict[str, DataFrame]
@@ -78,6 +81,39 @@ def sql_literals(df: DataFrame, table: str, chunk: int = K.INSERT_ROWS) -> DataF
     return row_literals(df).mapInPandas(statements, "sentencia string")
 
 
+def insert_statements(
+    tables: Tables, chunk: int = K.INSERT_ROWS, parts: int | None = None
+) -> DataFrame:
+    """INSERT statements of all tables: (tabla, numero, filas, sentencia).
+
+    Rows stand by primary key, ``numero`` counts a table's statements from 0 without gaps, and
+    every statement but a table's last has ``chunk`` rows. The rows of all tables are numbered
+    together: one sort by table and key, positions in its slices plus the sizes of those before.
+    """
+    heads, rows = [], []
+    for name, df in tables.items():
+        key = TABLES[name].unique[0]
+        order = F.datediff(F.col(key), F.lit("1970-01-01").cast("date")) if (
+            df.schema[key].dataType.typeName() == "date") else F.col(key)
+        literals = F.concat(F.lit("("), F.concat_ws(
+            ", ", *[sql_literal(f.name, f.dataType) for f in df.schema]), F.lit(")"))
+        rows.append(df.select(
+            F.lit(name).alias("tabla"), order.cast("long").alias("orden"), literals.alias("fila")
+        ))
+        heads.append((name, f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES\n"))
+    every = reduce(DataFrame.unionByName, rows)
+    placed = running_totals(every, "tabla", ["orden", "fila"], {"n": F.lit(1)}, parts)
+    grouped = placed.groupBy(
+        "tabla", F.floor((F.col("n") - 1) / F.lit(chunk)).cast("long").alias("numero")
+    ).agg(F.sort_array(F.collect_list(F.struct("n", "fila"))).alias("r"))
+    head = F.create_map(*[F.lit(x) for pair in heads for x in pair])
+    return grouped.select(
+        "tabla", "numero", F.size("r").cast("long").alias("filas"),
+        F.concat(head[F.col("tabla")], F.array_join("r.fila", ",\n"), F.lit(";"))
+        .alias("sentencia"),
+    )
+
+
 def export_sql(tables: Tables, folder: str, chunk: int = K.INSERT_ROWS) -> None:
     """One folder of INSERT script parts per table."""
     for name, df in tables.items():

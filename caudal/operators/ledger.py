@@ -14,6 +14,7 @@ from caudal.functions.numeric import (
     clamp, count_if, double, num, pct, sum_if, to_usd, to_ves, zero_if_null,
 )
 from caudal.functions.text import coordinates, full_name
+from caudal.operators.liquidity import with_last_known
 from caudal.operators.portfolio import instalment, preferred_account
 from caudal.operators.running import running_totals
 from caudal.operators.support import join_small
@@ -115,12 +116,21 @@ def ledger_cube(tx: DataFrame) -> DataFrame:
     The ledger is first reduced to one row per channel, status and day; only those few rows
     are grouped again, once per report.
     """
-    base = tx.groupBy("canal", "estado", _day().alias("dia")).agg(
+    return cube_of(cube_partials(tx))
+
+
+def cube_partials(tx: DataFrame) -> DataFrame:
+    """Counts and sums per channel, status and day; those of several parts add up."""
+    return tx.groupBy("canal", "estado", _day().alias("dia")).agg(
         F.count("*").alias("n"),
         F.sum(_usd()).alias("usd"),
         zero_if_null(F.sum("es_fraude")).alias("f"),
         sum_if(_fraud(), _usd()).alias("f_usd"),
     )
+
+
+def cube_of(base: DataFrame) -> DataFrame:
+    """The cube from partial figures."""
     sets = [
         (F.col("canal"), F.col("estado")), (F.col("canal"),), (F.col("dia"),), (),
     ]
@@ -354,7 +364,10 @@ def payroll_run(
     accounts: DataFrame, clients: DataFrame, macro: DataFrame,
     salaried=K.SALARIED, retiree: str = K.RETIREE,
 ) -> DataFrame:
-    """Salary deposits: half the income on each payday, pensions whole but not on the 30th."""
+    """Salary deposits: half the income on each payday, pensions whole but not on the 30th.
+
+    Paydays run to the last month with a rate; one without a rate takes the last known.
+    """
     rates = macro.select("fecha", F.col("tasa_bcv_usd_ves").alias("tasa_cambio"))
     last_month = macro.agg(F.trunc(F.max("fecha"), "MM")).scalar()
     earners = clients.filter(F.col("actividad_economica").isin(*salaried)).select(
@@ -375,7 +388,8 @@ def payroll_run(
         .filter(F.col("fecha") >= F.col("fecha_apertura"))
     )
     retired = F.col("actividad_economica") == retiree
-    due = join_small(paid, rates, "fecha").filter(~(retired & (F.dayofmonth("fecha") == 30)))
+    rated = with_last_known(paid, rates, found="_dia_tasa").filter("_dia_tasa is not null")
+    due = rated.drop("_dia_tasa").filter(~(retired & (F.dayofmonth("fecha") == 30)))
     half = (F.col("ingresos_mensuales_usd") / 2).cast("decimal(18,2)")
     salary = F.when(retired, F.col("ingresos_mensuales_usd")).otherwise(half)
     return _bank_rows(due, K.DEPOSIT, "Taquilla", salary, F.lit("VES"), "08:30:00")
@@ -406,12 +420,17 @@ def instalment_charges(
 
 
 def _placed(rows: DataFrame, accounts: DataFrame, macro: DataFrame, which: str) -> DataFrame:
-    """Attach the client's account, its currency and the day's rate."""
+    """Attach the client's account, its currency and the last rate known on the day.
+
+    A day without a rate takes that of the last one before it; rows before the first rate are
+    left out.
+    """
     chosen = preferred_account(accounts).select("cliente_id", F.col(which).alias("cuenta_id"))
     currency = accounts.select(F.col("id").alias("cuenta_id"), "moneda")
     side = chosen.join(currency, "cuenta_id")
     rate = macro.select("fecha", F.col("tasa_bcv_usd_ves").alias("tasa_cambio"))
-    return join_small(rows.join(side, "cliente_id"), rate, "fecha")
+    known = with_last_known(rows.join(side, "cliente_id"), rate, found="_dia_tasa")
+    return known.filter("_dia_tasa is not null").drop("_dia_tasa")
 
 
 def ledger_union(*parts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.functions.numeric import count_if
+from caudal.operators.keys import declared_references, offending_keys
 from caudal.sources.schemas import TABLES
 
 Tables = dict[str, DataFrame]
@@ -50,34 +51,30 @@ def dq_domains(tables: Tables) -> DataFrame:
 
 def dq_unique(tables: Tables) -> DataFrame:
     """Values that occur more than once in each column declared unique."""
-    parts = []
-    for name, df in tables.items():
-        for key in TABLES[name].unique:
-            repeated = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
-            parts.append(
-                repeated.agg(
-                    F.lit(name).alias("tabla"), F.lit(key).alias("columna"),
-                    F.count("*").alias("claves_repetidas"),
-                    F.coalesce(F.sum("count"), F.lit(0)).alias("filas"),
-                )
-            )
-    return _stacked(parts)
+    declared = [(t, c) for t in tables for c in TABLES[t].unique]
+    return _per_rule(tables, "repetida", declared, "claves_repetidas", "filas")
 
 
 def dq_orphans(tables: Tables) -> DataFrame:
-    """Rows whose reference is missing; references are counted per value before the join."""
-    parts = []
-    for name, df in tables.items():
-        for key, parent in TABLES[name].references.items():
-            used = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).count()
-            lost = used.join(tables[parent].select("id"), "id", "left_anti")
-            parts.append(
-                lost.agg(
-                    F.lit(name).alias("tabla"), F.lit(key).alias("columna"),
-                    F.coalesce(F.sum("count"), F.lit(0)).alias("huerfanas"),
-                )
-            )
-    return _stacked(parts)
+    """Rows whose reference is missing."""
+    declared = [(t, c) for t, c, _ in declared_references(tables)]
+    return _per_rule(tables, "huerfana", declared, "_claves", "huerfanas").drop("_claves")
+
+
+def _per_rule(
+    tables: Tables, rule: str, declared: list[tuple[str, str]], keys: str, rows: str
+) -> DataFrame:
+    """Offending values and their rows per declared column, also where there are none."""
+    spark = next(iter(tables.values())).sparkSession
+    none = spark.createDataFrame(declared, "tabla string, columna string").select(
+        "tabla", "columna", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("filas")
+    )
+    found = offending_keys(tables).filter(F.col("regla") == rule).select(
+        "tabla", "columna", F.lit(1).cast("long").alias("k"), "filas"
+    )
+    return found.unionByName(none).groupBy("tabla", "columna").agg(
+        F.sum("k").alias(keys), F.sum("filas").alias(rows)
+    )
 
 
 def row_counts(tables: Tables) -> DataFrame:

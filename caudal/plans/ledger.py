@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.operators import ledger as L
+from caudal.operators.cube import append_to_cube, kept_cube
+from caudal.operators.liquidity import with_last_known
 from caudal.operators.replay import authorization_replay
+from caudal.operators.support import new_folder
 from caudal.plans.registry import Query, sql_instalment, sql_pct
 from caudal.sources.adapters import Bank
 
@@ -308,3 +311,36 @@ QUERIES: dict[str, Query] = {
            from pasos join transacciones t on t.id=tx where k>0""",
     ),
 }
+
+
+def _kept_cube(b: Bank) -> DataFrame:
+    """The cube after three appends, of which the later ones bring rows of earlier days."""
+    folder = new_folder(b.spark, "cubo")
+    tx = b.transacciones
+    part = F.pmod(F.col("id"), F.lit(3))
+    for k in range(3):
+        append_to_cube(b.spark, folder, tx.filter(part == k))
+    return kept_cube(b.spark, folder, tx)
+
+
+QUERIES["ledger_cube_kept"] = Query(
+    QUERIES["ledger_cube"].output, _kept_cube, QUERIES["ledger_cube"].tables,
+    QUERIES["ledger_cube"].sql,
+)
+
+
+def _last_rates(b: Bank) -> DataFrame:
+    """Ledger rows at the last rate published by their day, in a series without week-ends."""
+    rates = b.indicadores_macro.filter(F.weekday("fecha") < 5).select(
+        "fecha", F.col("tasa_bcv_usd_ves").alias("tasa_oficial")
+    )
+    rows = b.transacciones.select("id", F.to_date("fecha_hora").alias("fecha"))
+    return with_last_known(rows, rates, "fecha")
+
+
+QUERIES["last_known_rate"] = Query(
+    "id:l fecha:f fecha_tasa:f tasa_oficial:d", _last_rates, "transacciones indicadores_macro",
+    """select t.id, t.d fecha, m.fecha fecha_tasa, tasa_bcv_usd_ves tasa_oficial
+       from (select id, cast(fecha_hora as date) d from transacciones) t
+       asof left join (select * from indicadores_macro where isodow(fecha)<6) m on t.d>=m.fecha""",
+)

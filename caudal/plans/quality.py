@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caudal.operators import documents as D
 from caudal.operators import export as E
 from caudal.operators import quality as V
+from caudal.operators.keys import offending_keys
 from caudal.operators.support import new_folder, remove_folder
 from caudal.plans import credit, ledger, treasury
 from caudal.plans.registry import Query, sql_pct
@@ -152,6 +153,21 @@ QUERIES: dict[str, Query] = {
             for t, table in TABLES.items() for c, p in table.references.items()
         ]),
     ),
+    "dq_offending_keys": Query(
+        "regla:t tabla:t columna:t clave:t filas:l",
+        lambda b: offending_keys(b.tables),
+        _ALL,
+        _union([
+            f"select 'repetida' regla, '{t}' tabla, '{c}' columna, cast({c} as varchar) clave, "
+            f"count(*) filas from {t} where {c} is not null group by {c} having count(*)>1"
+            for t, table in TABLES.items() for c in table.unique
+        ] + [
+            f"select 'huerfana', '{t}', '{c}', cast({t}.{c} as varchar), count(*) from {t} "
+            f"left join {p} p on p.id={t}.{c} where p.id is null and {t}.{c} is not null "
+            f"group by {t}.{c}"
+            for t, table in TABLES.items() for c, p in table.references.items()
+        ]),
+    ),
     "row_counts": Query(
         "tabla:t filas:l",
         lambda b: V.row_counts(b.tables),
@@ -287,3 +303,23 @@ def _literals_query(table: str) -> Query:
 
 QUERIES |= {f"warehouse_{t}": _warehouse_query(t) for t in TABLES}
 QUERIES |= {f"sql_literals_{t}": _literals_query(t) for t in TABLES}
+
+
+def _statements(b: Bank) -> DataFrame:
+    made = E.insert_statements(b.tables)
+    return made.withColumn("huella", F.md5("sentencia")).drop("sentencia")
+
+
+def _statements_sql(table: str) -> str:
+    head = f"INSERT INTO {table} ({', '.join(SCHEMAS[table].names)}) VALUES"
+    return f"""select '{table}' tabla, (n-1)//1000 numero, count(*) filas,
+                      md5('{head}' || chr(10) || string_agg(fila, ',' || chr(10) order by n) || ';') huella
+               from (select fila, row_number() over (order by k, fila) n
+                     from (select {_row_sql(table)} fila, {TABLES[table].unique[0]} k from {table}))
+               group by 2"""
+
+
+QUERIES["sql_statements"] = Query(
+    "tabla:t numero:l filas:l huella:t", _statements, _ALL,
+    _union([f"select * from ({_statements_sql(t)})" for t in TABLES]),
+)

@@ -22,6 +22,12 @@ _CSV_READING = _CSV | {
 }
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A bank table stored as parquet under its name."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
