@@ -183,7 +183,8 @@ def shards(
         ).withColumn("row", F.monotonically_increasing_id()),
         "rows",
     )
-    buckets = rows.count() // BUCKET_ROWS + 1
+    total = rows.count()
+    buckets = total // BUCKET_ROWS + 1
     copies = stored(
         rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n")), "copies"
     )
@@ -199,18 +200,16 @@ def shards(
         "_b2": F.pmod(F.xxhash64("row"), spread),
     })
     whole = ranked(places.withColumn("_all", F.lit(0)), ["_all"], ["key", "row"], "rank")
-    at = stored(
-        whole.withColumn("shard", F.pmod(F.col("rank"), F.lit(n_shards)).cast("int"))
-        .drop("rank", "_all"),
-        "places",
-    )
+    # copies stand next to each other: runs of ranks cut a group at the ends of shards only
+    run = F.expr(f"cast(rank * {n_shards} div {max(total, 1)} as int)")
+    at = stored(whole.withColumn("shard", run).drop("rank", "_all"), "places")
     closed: list[int] = []
     for _ in range(ROUNDS):
         at, closed, more = _round(at, closed)
         if not more or len(closed) >= n_shards:
             break
     # closed shards too exchange evenly, ties drawn anew, until rounds no longer lower the cuts
-    room = -(-rows.count() // n_shards)
+    room = -(-total // n_shards)
     cuts, idle = _cuts(at, room), 0
     for salt in range(1, MENDS + 1):
         if not cuts or idle >= 3:

@@ -129,21 +129,28 @@ def test_a_group_larger_than_a_shard(spark):
     assert len(hot) == 3  # 667 rows in shards of 250
 
 
-def test_fewer_groups_are_cut_without_unlinked_documents(spark, monkeypatch):
-    df = spark.range(1200).selectExpr("id doc_id", "concat('t', id % 400) text")
-
-    def cut():
-        got = sharding.shards(df).collect()
-        check_law(got, 8)
-        places = defaultdict(set)
-        for r in got:
-            places[r["doc_id"] % 400].add(r["shard"])
-        return sum(len(p) > 1 for p in places.values())
-
-    mended = cut()
-    monkeypatch.setattr(sharding, "MENDS", 0)
-    before = cut()
-    assert mended < before
+@pytest.mark.parametrize("rows, size", [(1200, 2), (1200, 3), (2000, 5)])
+def test_no_group_that_fits_is_cut(spark, rows, size):
+    groups = rows // size
+    df = spark.range(rows).selectExpr("id doc_id", f"concat('t', id % {groups}) text")
+    got = sharding.shards(df).collect()
+    check_law(got, 8)
+    places = defaultdict(set)
+    for r in got:
+        places[r["doc_id"] % groups].add(r["shard"])
+    assert len(places) == groups and all(len(p) == 1 for p in places.values())
+
+
+def test_few_groups_are_cut_beside_a_hot_one(spark):
+    df = spark.range(3000).selectExpr(
+        "id doc_id", "if(id % 3 = 0, 'hot', concat('t', id % 500)) text")
+    got = sharding.shards(df).collect()
+    check_law(got, 8)
+    places = defaultdict(set)
+    for r in got:
+        if r["doc_id"] % 3:
+            places[r["doc_id"] % 500].add(r["shard"])
+    assert sum(len(p) > 1 for p in places.values()) <= 7
 
 
 def test_few_or_no_rows(spark):
