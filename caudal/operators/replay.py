@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caudal import constants as K
 from caudal.functions.rules import is_deposit
-from caudal.operators.support import join_small, materialize, ordered_slices
+from caudal.operators.support import join_slices, join_small, materialize, sorted_slices
 
 FAR = 2**62
 START, DEPOSIT, DEBIT, LOST = 0, 1, 2, 3
@@ -33,6 +33,9 @@ _ROWS = (
     "cuenta_id long, _tramo long, fecha_hora timestamp_ntz, id long, paso int, "
     "centavos long, codigo_error string"
 )
+_ENTERED = (
+    "cuenta_id long, _tramo long, paso int, centavos long, id long, codigo_error string, inicio long"
+)
 _DECIDED = "id long, cuenta_id long, decision int, centavos_saldo long, codigo_error string"
 _RANGES = "cuenta_id long, _tramo long, desde long, hasta long, cambio long"
 _STARTS = "cuenta_id long, _tramo long, inicio long, seguro boolean, fijo boolean"
@@ -53,26 +56,28 @@ def authorization_replay(
     rows = tx.select(
         "cuenta_id", "fecha_hora", "id", step.alias("paso"), _cents(amount), "codigo_error"
     )
-    openings = accounts.select(F.col("id").alias("cuenta_id"), _cents("saldo_actual"))
-    rows = ordered_slices(rows, ["cuenta_id", "fecha_hora", "id"], parts)
-    spans = materialize(
-        rows.groupBy("cuenta_id").agg(
-            F.min("_tramo").alias("_primero"), F.max("_tramo").alias("_ultimo")
-        )
+    # an opening stands before the movements of its account, of an account without any too
+    first = accounts.select(F.col("id").alias("cuenta_id"), _cents("saldo_actual"))
+    rows = sorted_slices(
+        rows.unionByName(_as_start(first).select(*rows.columns)),
+        ["cuenta_id", "fecha_hora", "id"], parts,
     )
-    opened = spans.join(openings, "cuenta_id", "left").fillna(0, ["centavos"])
-    starts = _as_start(opened.withColumn("_tramo", F.col("_primero")))
+    edges = rows.select("cuenta_id", "_tramo").mapInPandas(_edges, "cuenta_id long, _tramo long")
+    spans = materialize(edges.groupBy("cuenta_id").agg(
+        F.min("_tramo").alias("_primero"), F.max("_tramo").alias("_ultimo")
+    ).filter("_primero < _ultimo"))
     # a slice has one account at most that goes on in the next, so these are few
-    crossing = materialize(opened.filter("_primero < _ultimo"))
-    if not crossing.isEmpty():
-        settled = _settle(join_small(rows, crossing.select("cuenta_id"), "cuenta_id"), crossing)
-        later = settled.join(crossing.select("cuenta_id", "_primero"), "cuenta_id").filter(
-            "_tramo > _primero"
-        )
-        starts = starts.unionByName(_as_start(later.withColumnRenamed("inicio", "centavos")))
-    decided = _sorted(rows.select(*_names(_ROWS)).unionByName(starts)).mapInPandas(
-        _decide, _DECIDED
-    )
+    if spans.isEmpty():
+        entered = rows.withColumn("inicio", F.lit(None).cast("long"))
+    else:
+        crossing = spans.join(first, "cuenta_id", "left").fillna(0, ["centavos"])
+        moves = rows.filter(F.col("paso") != START)
+        settled = _settle(join_small(moves, spans.select("cuenta_id"), "cuenta_id"),
+                          materialize(crossing))
+        later = settled.join(spans, "cuenta_id").filter("_tramo > _primero")
+        entered = join_slices(rows, later.select("_tramo", "inicio"),
+                              ["cuenta_id", "fecha_hora", "id"])
+    decided = entered.select(*_names(_ENTERED)).mapInPandas(_decide, _DECIDED)
     state = F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("decision") + 1)
     code = F.when(F.col("decision") == 1, K.NO_FUNDS).when(
         F.col("decision") == 2, F.col("codigo_error")
@@ -84,6 +89,17 @@ def authorization_replay(
     )
 
 
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first and the last account of a slice; the others begin and end in it."""
+    first = last = None
+    for batch in batches:
+        if len(batch):
+            first = batch.iloc[:1] if first is None else first
+            last = batch.iloc[-1:]
+    if first is not None:
+        yield pd.concat([first, last]).drop_duplicates().astype("int64")
+
+
 def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
@@ -93,14 +109,13 @@ def _cents(column: str):
 
 
 def _as_start(df: DataFrame) -> DataFrame:
-    """Starting balances as rows that sort before the movements of their slice."""
-    return df.select(
-        "cuenta_id", "_tramo",
-        F.lit(None).cast("timestamp_ntz").alias("fecha_hora"),
-        F.lit(None).cast("long").alias("id"),
-        F.lit(START).alias("paso"), "centavos",
-        F.lit(None).cast("string").alias("codigo_error"),
-    )
+    """Starting balances as rows that sort before the movements of their account or slice."""
+    return df.withColumns({
+        "fecha_hora": F.lit(None).cast("timestamp_ntz"),
+        "id": F.lit(None).cast("long"),
+        "paso": F.lit(START),
+        "codigo_error": F.lit(None).cast("string"),
+    })
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -111,15 +126,22 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replay sorted rows; only the running balance is kept from batch to batch."""
-    current, balance = None, 0
+    """Replay sorted rows; only the running balance is kept from batch to batch.
+
+    An account without an opening begins with nothing; the first account of a slice with what it
+    brings from the slice before, if it goes on there.
+    """
+    account, part, balance = None, None, 0
     for batch in batches:
         decisions, balances = [], []
+        entries = batch["inicio"].fillna(0).astype("int64").tolist()
         rows = zip(batch["cuenta_id"].tolist(), batch["_tramo"].tolist(),
-                   batch["paso"].tolist(), batch["centavos"].tolist())
-        for account, part, step, cents in rows:
-            if (account, part) != current:
-                current, balance = (account, part), 0
+                   batch["paso"].tolist(), batch["centavos"].tolist(), entries)
+        for owner, tramo, step, cents, entry in rows:
+            if tramo != part:
+                account, part, balance = owner, tramo, entry
+            elif owner != account:
+                account, balance = owner, 0
             decision = 0
             if step == START:
                 balance, decision = cents, -1
