@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -466,3 +468,29 @@ QUERIES["metric_intervals"] = Query(
                quantile_cont(x, 0.975) filter (replica>0) alto,
                count(x) filter (replica>0) replicas from largo group by 1""",
 )
+
+
+def _valid_scores(b: Bank) -> DataFrame:
+    """What must hold for scores whatever the model: every test row once, with its label, a
+    probability, and the class that follows from it."""
+    parts = []
+    for kind in ("lr", "rf"):
+        scored = _model_scores(b, kind, 100)
+        p = F.col("probabilidad")
+        wrong = (F.col("prediccion") != (p > 0.5).cast("int")) & (p != 0.5)
+        parts.append(scored.agg(
+            F.lit(kind).alias("modelo"), F.countDistinct("id").alias("filas"),
+            F.sum(X.TARGET).alias("positivos"),
+            F.count(F.when(p.isNull() | ~p.between(0, 1), 1)).alias("fuera"),
+            F.count(F.when(wrong, 1)).alias("contrarias"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES["model_scores_valid"] = Query(
+    "modelo:t filas:l positivos:l fuera:l contrarias:l", _valid_scores,
+    QUERIES["train_test_split"].tables,
+    f"""select modelo, count(*) filas, sum(target_default) positivos, 0 fuera, 0 contrarias
+        from ({QUERIES["train_test_split"].sql}), (values ('lr'), ('rf')) m(modelo)
+        where parte='test' group by 1""",
+)

@@ -14,7 +14,7 @@ from caudal.plans import credit, ledger, treasury
 from caudal.plans.registry import Query, sql_pct
 from caudal.sources.adapters import Bank
 from caudal.sources.schemas import SCHEMAS, TABLES
-from caudal.sources.tables import load_csv
+from caudal.sources.tables import append, load, load_csv, recreate
 
 _ALL = " ".join(TABLES)
 _WITH_ID = [name for name in TABLES if "id" in SCHEMAS[name].names]
@@ -323,3 +323,62 @@ QUERIES["sql_statements"] = Query(
     "tabla:t numero:l filas:l huella:t", _statements, _ALL,
     _union([f"select * from ({_statements_sql(t)})" for t in TABLES]),
 )
+
+
+# ---- writing ------------------------------------------------------------------------
+
+_REWRITTEN = ("cuentas", "creditos")
+
+
+def _rewritten(b: Bank) -> DataFrame:
+    """Tables begun with a part, made anew as a whole, then appended to; read with their types.
+
+    The answer has a row per table, so it is fetched and the tables removed at once.
+    """
+    folder = new_folder(b.spark, "tablas")
+    rows = []
+    try:
+        for name in _REWRITTEN:
+            df = b.tables[name]
+            recreate(df.filter("id % 2 = 0"), folder, name)
+            recreate(df, folder, name)
+            append(df.filter("id % 3 = 0"), folder, name)
+            found = load(b.spark, folder, name).agg(
+                F.count("*"), F.countDistinct("id"), F.sum("id")
+            ).first()
+            rows.append((name, *found))
+    finally:
+        remove_folder(b.spark, folder)
+    return b.spark.createDataFrame(rows, "tabla string, filas long, claves long, suma long")
+
+
+def _surrogates(b: Bank) -> DataFrame:
+    """Dense and merely unique ids of the ledger's rows, summed up."""
+    rows = b.transacciones.drop("id")
+    dense = E.with_dense_ids(rows).agg(
+        F.lit("densos").alias("clase"), F.min("id").alias("menor"), F.max("id").alias("mayor"),
+        F.countDistinct("id").alias("distintos"),
+    )
+    unique = E.with_unique_ids(rows).agg(
+        F.lit("unicos").alias("clase"), F.lit(None).cast("long").alias("menor"),
+        F.lit(None).cast("long").alias("mayor"), F.countDistinct("id").alias("distintos"),
+    )
+    return dense.unionByName(unique)
+
+
+QUERIES |= {
+    "tables_rewritten": Query(
+        "tabla:t filas:l claves:l suma:l", _rewritten, " ".join(_REWRITTEN),
+        _union([
+            f"""select '{t}' tabla, count(*)+count(*) filter (id%3=0) filas,
+                       count(distinct id) claves,
+                       sum(id)+coalesce(sum(id) filter (id%3=0), 0) suma from {t}"""
+            for t in _REWRITTEN
+        ]),
+    ),
+    "surrogate_ids": Query(
+        "clase:t menor:l mayor:l distintos:l", _surrogates, "transacciones",
+        """select 'densos' clase, 1 menor, count(*) mayor, count(*) distintos from transacciones
+           union all select 'unicos', null, null, count(*) from transacciones""",
+    ),
+}
