@@ -43,6 +43,7 @@ THRESHOLD = 30.0  # nats by which the random model must be more likely, in too s
 BANDS = (LEAST, 16, 20)  # least lengths that have a threshold of their own
 LOWEST = 10  # nats: no threshold chosen from samples is below
 ENOUGH = 1_000  # ordinary tokens from which on thresholds are chosen from samples
+FEW_LETTERS = 3  # a token of so few different characters is a rule or a filler, not a key
 FALSE_COST = 10  # a false share counts so many times a missed share
 
 
@@ -323,7 +324,8 @@ def scan(
 
     Spans are whole matches, start to end (exclusive) in code points, ordered by start, then
     kind. A Markov span is a run of 12 or more of ``A-Za-z0-9+/_=-`` that no pattern span
-    covers as a whole and scores ``threshold`` or more; left out, the models' threshold for its length. A null text counts as empty: no spans, the digest of
+    covers as a whole and scores ``threshold`` or more; left out, the models' threshold for its length. Tokens of
+    ``FEW_LETTERS`` or fewer different characters (rules of ``-`` or ``=``) are none. A null text counts as empty: no spans, the digest of
     an empty list. Repeated rows and null ids come back as they are; an empty table gives an
     empty result; other columns than the id and ``carry`` are not kept. No shuffle after training.
     With ``mark`` the column ``masked`` holds the text (a null one as empty) with every span replaced
@@ -356,7 +358,8 @@ def scan(
                 matches(piece, TOKEN),
                 lambda t: ~F.exists(
                     spans, lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])
-                ) & (models.score(_codes(t["value"])) >= least(t)),
+                ) & (F.size(F.array_distinct(F.split(t["value"], ""))) > FEW_LETTERS)
+                & (models.score(_codes(t["value"])) >= least(t)),
             )
             return F.sort_array(F.concat(spans, numbered("markov", random)))
 

@@ -393,6 +393,12 @@ def test_short_random_strings_of_several_alphabets_are_found(spark, trained):
     assert all(recall >= 0.9 and false <= 0.002 for _, recall, false in trained.measured)
 
 
+def test_rules_and_fillers_are_no_secrets(spark, trained):
+    texts = ["-" * 16, "=" * 40, "x" * 30, "-=" * 12, "0" * 20, "abcabcabcabcabc", "/" * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.scan(df, models=trained).filter("n_markov > 0").count() == 0
+
+
 def test_the_rest_of_a_key_beside_a_pattern_is_found(spark, trained):
     rng = random.Random(14)
     head, tail = (drawn(rng, string.ascii_letters[26:] + "IJ", 15) for _ in range(2))
