@@ -46,12 +46,27 @@ def load_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A bank table of a database.
+    """A bank table of a database, in its declared types.
 
     ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` make Spark read
     it in parallel ranges; without them one task reads the whole table.
     """
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+    raw = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+    return as_declared(raw, name)
+
+
+def as_declared(df: DataFrame, name: str) -> DataFrame:
+    """The declared columns of a bank table in order and type, whatever case their names have.
+
+    A database gives days as texts or wider numbers; a value that does not fit ends the reading.
+    """
+    given = {c.lower(): c for c in df.columns}
+    missing = [f.name for f in SCHEMAS[name] if f.name not in given]
+    if missing:
+        raise ValueError(f"{name}: no column {', '.join(missing)}")
+    return df.select(*[
+        F.col(f"`{given[f.name]}`").cast(f.dataType).alias(f.name) for f in SCHEMAS[name]
+    ])
 
 
 def append(df: DataFrame, folder: str, name: str, partition_by: str | None = None) -> None:

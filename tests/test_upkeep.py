@@ -96,6 +96,24 @@ def test_rows_take_the_last_rate_up_to_their_day(spark):
                    5: (None, None), 6: (20, 5)}
 
 
+def test_tables_of_a_database_get_their_declared_types(spark):
+    from caudal.sources.schemas import SCHEMAS
+    from caudal.sources.tables import as_declared
+
+    raw = spark.createDataFrame(
+        [("2024-01-02", "36.5", 40.25, 3.0, 1.0, 30, "10", "x")],
+        "FECHA string, TASA_BCV_USD_VES string, tasa_paralela_usd_ves double, "
+        "inflacion_mensual_pct double, variacion_pib_mensual_pct double, "
+        "tasa_activa_ves_anual int, tasa_pasiva_ves_anual string, extra string")
+    got = as_declared(raw, "indicadores_macro")
+    assert [(f.name, f.dataType) for f in got.schema] == [
+        (f.name, f.dataType) for f in SCHEMAS["indicadores_macro"]]
+    row = got.first()
+    assert row["fecha"] == D(2024, 1, 2) and float(row["tasa_bcv_usd_ves"]) == 36.5
+    with pytest.raises(ValueError, match="tasa_bcv_usd_ves"):
+        as_declared(raw.drop("TASA_BCV_USD_VES"), "indicadores_macro")
+
+
 def test_payroll_pays_on_days_without_a_rate(spark, make):
     accounts = make("cuentas", {"id": 1, "moneda": "VES", "fecha_apertura": D(2024, 1, 1)})
     clients = make("clientes", {"id": 1, "actividad_economica": "Empleado Privado"})
