@@ -124,17 +124,18 @@ def with_path_length(
                       F.col("k.length").alias("length")).alias("t"))
     model = packed.agg(F.collect_list("t").alias("m")).scalar()
 
-    def down(tree: Column) -> Column:
+    def down(tree: Column, row: Column) -> Column:
         steps = F.sequence(F.lit(1), F.lit(depth))
         return F.aggregate(steps, F.lit(0), lambda node, _: F.when(
             F.get(tree["f"], node).isNull(), node
         ).otherwise(
-            node * 2 + 1 + (F.get(x, F.get(tree["f"], node)) >= F.get(tree["cut"], node)).cast("int")
+            node * 2 + 1 + (F.get(row, F.get(tree["f"], node)) >= F.get(tree["cut"], node)).cast("int")
         ))
 
-    total = F.aggregate(
-        "_bosque", num(0), lambda acc, tree: acc + F.get(tree["length"], down(tree))
-    )
+    # bound once a row: named within the steps, the values would be computed at each of them
+    total = F.element_at(F.transform(F.array(x), lambda row: F.aggregate(
+        "_bosque", num(0), lambda acc, tree: acc + F.get(tree["length"], down(tree, row))
+    )), 1)
     return rows.withColumn("_bosque", model).select(
         *[F.col(f"`{c}`") for c in rows.columns], (total / num(trees)).alias("camino")
     )
