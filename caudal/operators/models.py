@@ -17,14 +17,25 @@ from caudal.functions.numeric import double
 from caudal.operators.features import (
     CATEGORICAL, FRAUD_CATEGORICAL, FRAUD_NUMERIC, FRAUD_TARGET, NUMERIC, TARGET, class_weights,
 )
-from caudal.operators.support import join_small
+from caudal.operators.support import join_small, materialize
 
 WEIGHT = "peso"
+#: Training passes over the rows hundreds of times: parts of so many rows, then larger ones.
+PART_ROWS, PARTS, MOST_ROWS = 25_000, 48, 500_000
 
 
 def weighted(df: DataFrame, label: str = TARGET) -> DataFrame:
-    """Rows with the balanced weight of their class."""
-    return join_small(df, class_weights(df, label).select(label, WEIGHT), label)
+    """Rows with the balanced weight of their class, in parts that suit their number."""
+    weights = materialize(class_weights(df, label))
+    rows = weights.agg(F.sum("filas")).first()[0] or 0
+    return join_small(df, weights.select(label, WEIGHT), label).repartition(training_parts(rows))
+
+
+def training_parts(rows: int) -> int:
+    """Parts to train on: work for all cores where it pays, else few, since a pass over a part
+    costs the driver a task whatever the part holds. ``spark.sql.shuffle.partitions`` plays no
+    part in it."""
+    return max(1, min(PARTS, -(-rows // PART_ROWS)), -(-rows // MOST_ROWS))
 
 
 def _preparation(numeric: list[str], categorical: list[str]) -> list:
@@ -78,8 +89,7 @@ def fit_classifier(
 ) -> PipelineModel:
     """Fit a classifier with balanced class weights on a feature table."""
     numbers = [double(F.col(c)).alias(c) for c in numeric]
-    # parts of even size, as many as the rows need: training passes over them many times
-    rows = weighted(train.select(*numbers, *categorical, label), label).hint("rebalance").persist()
+    rows = weighted(train.select(*numbers, *categorical, label), label).persist()
     try:
         stages = [*_preparation(numeric, categorical), classifier(kind, label, trees)]
         return Pipeline(stages=stages).fit(rows)
