@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from caudal import constants as K
 from caudal.functions.text import sql_literal
 from caudal.operators.quality import row_counts
-from caudal.operators.running import running_totals
-from caudal.operators.support import join_small, materialize
+from caudal.operators.support import join_small, materialize, new_folder
 from caudal.sources.schemas import TABLES
 from caudal.sources.tables import CSV_WRITING
 
@@ -81,6 +80,13 @@ def sql_literals(df: DataFrame, table: str, chunk: int = K.INSERT_ROWS) -> DataF
     return row_literals(df).mapInPandas(statements, "sentencia string")
 
 
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Rows written once into the shared folder, their texts compressed."""
+    folder = new_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def insert_statements(
     tables: Tables, chunk: int = K.INSERT_ROWS, parts: int | None = None
 ) -> DataFrame:
@@ -88,7 +94,8 @@ def insert_statements(
 
     Rows stand by primary key, ``numero`` counts a table's statements from 0 without gaps, and
     every statement but a table's last has ``chunk`` rows. The rows of all tables are numbered
-    together: one sort by table and key, positions in its slices plus the sizes of those before.
+    together: their texts are made and stored once, sorted once by table and key, and stored with
+    their position in their slice; what a table has in the slices before is added to it.
     """
     heads, rows = [], []
     for name, df in tables.items():
@@ -101,11 +108,28 @@ def insert_statements(
             F.lit(name).alias("tabla"), order.cast("long").alias("orden"), literals.alias("fila")
         ))
         heads.append((name, f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES\n"))
-    every = reduce(DataFrame.unionByName, rows)
-    placed = running_totals(every, "tabla", ["orden", "fila"], {"n": F.lit(1)}, parts)
+    every = _stored(reduce(DataFrame.unionByName, rows), "filas")
+    order = ["tabla", "orden", "fila"]
+    ranged = every.repartitionByRange(parts, *order) if parts else every.repartitionByRange(*order)
+    lying = _stored(
+        ranged.sortWithinPartitions(*order)
+        .select("tabla", "fila", F.monotonically_increasing_id().alias("_m"))
+        .withColumn("_tramo", F.shiftright("_m", 33)),
+        "tramos",
+    )
+    before = Window.partitionBy("tabla").orderBy("_tramo").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    begin = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_m")
+    offsets = (
+        lying.groupBy("tabla", "_tramo").agg(F.count("*").alias("_n"), F.min("_m").alias("_m"))
+        .select("tabla", "_tramo", begin.alias("_base"))
+    )
+    placed = join_small(lying, offsets, ["tabla", "_tramo"])  # a row per table and slice
     grouped = placed.groupBy(
-        "tabla", F.floor((F.col("n") - 1) / F.lit(chunk)).cast("long").alias("numero")
-    ).agg(F.sort_array(F.collect_list(F.struct("n", "fila"))).alias("r"))
+        "tabla",
+        F.floor((F.col("_m") + F.col("_base")) / F.lit(chunk)).cast("long").alias("numero"),
+    ).agg(F.sort_array(F.collect_list(F.struct("_m", "fila"))).alias("r"))
     head = F.create_map(*[F.lit(x) for pair in heads for x in pair])
     return grouped.select(
         "tabla", "numero", F.size("r").cast("long").alias("filas"),

@@ -86,6 +86,18 @@ def test_statements_are_numbered_without_gaps(make, parts):
     assert "'n''1'" in first
 
 
+@pytest.mark.parametrize("parts", [None, 5])
+def test_statements_of_repeated_keys_stand_by_text_without_leaving_spark(make, parts):
+    rows = [{"id": None if i % 3 else 7, "numero_cuenta": f"n{i % 20:02}"} for i in range(60)]
+    tables = {"cuentas": make("cuentas", *rows, nullable=True), "clientes": make("clientes")}
+    made = export.insert_statements(tables, chunk=7, parts=parts)
+    assert "MapInArrow" not in made._jdf.queryExecution().toString()
+    got = sorted(made.collect(), key=lambda r: r["numero"])
+    assert [(r["tabla"], r["filas"]) for r in got] == [("cuentas", 7)] * 8 + [("cuentas", 4)]
+    lines = [x.rstrip(",;") for r in got for x in r["sentencia"].split("\n")[1:]]
+    assert lines == sorted(lines, key=lambda x: (x.startswith("(7,"), x))
+
+
 def test_rows_take_the_last_rate_up_to_their_day(spark):
     series = spark.createDataFrame([(D(2024, 1, 2), 10), (D(2024, 1, 5), 20)], "fecha date, tasa int")
     rows = spark.createDataFrame([(k, D(2024, 1, d) if d else None) for k, d in
