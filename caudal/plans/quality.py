@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +24,26 @@ _WITH_ID = [name for name in TABLES if "id" in SCHEMAS[name].names]
 def _csv_roundtrip(b: Bank) -> DataFrame:
     """Every table written as CSV to the shared folder and read back, column by column.
 
-    The answer has a row per column, so it is fetched and the copy removed at once.
+    The answer has a row per column, so it is fetched and the copy removed at once. All tables
+    are summed up in one job.
     """
     folder = new_folder(b.spark, "csv")
     try:
         E.export_csv(b.tables, folder)
-        rows = []
+        found = []
         for name in TABLES:
             copy = load_csv(b.spark, folder, name)
             digests = [F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10)
                        .cast("long") for c in copy.columns]
-            found = copy.agg(
-                F.count("*"), *[F.count(c) for c in copy.columns], *[F.sum(d) for d in digests]
-            ).first()
-            n = len(copy.columns)
-            rows += [(name, c, found[0], found[1 + k], found[1 + n + k])
-                     for k, c in enumerate(copy.columns)]
+            found.append(copy.agg(
+                F.lit(name), F.count("*"), F.array(*[F.count(c) for c in copy.columns]),
+                F.array(*[F.sum(d) for d in digests]),
+            ))
+        rows = [
+            (name, c, n, filled, total)
+            for name, n, full, totals in reduce(DataFrame.unionAll, found).collect()
+            for c, filled, total in zip(SCHEMAS[name].names, full, totals, strict=True)
+        ]
     finally:
         remove_folder(b.spark, folder)
     return b.spark.createDataFrame(

@@ -142,3 +142,9 @@ def test_surrogate_ids(spark):
 def test_every_declared_column_has_a_plain_value():
     for name, schema in SCHEMAS.items():
         assert set(schema.names) == set(PLAIN[name])
+
+
+def test_csv_files_are_small_enough_to_be_read_by_many_tasks(spark, tmp_path):
+    export.export_csv({"t": spark.range(0, 250_000, 1, 1), "u": spark.range(3)}, str(tmp_path))
+    assert len(list((tmp_path / "t").glob("part-*"))) == 3
+    assert spark.read.option("header", True).csv(f"{tmp_path}/t").distinct().count() == 250_000
