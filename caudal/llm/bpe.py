@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from caudal.llm.blocks import blocks, ragged
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Separators that Python's ``str.split`` takes for white space and the vocabulary's ``\\s`` does not.
 OTHER_SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE_SPACE = regex.compile(r"\s+")

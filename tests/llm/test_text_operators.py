@@ -6,6 +6,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caudal.llm import maxent_lm, quality, secrets, simhash, substring_dedup
+from caudal.llm import bpe, maxent_lm, quality, secrets, simhash, substring_dedup
 from caudal.llm.bpe import bpe_tokens
 from caudal.llm.components import components
 from caudal.llm.token_counts import token_counts
@@ -448,6 +449,20 @@ def test_bpe_equals_the_library(spark):
     assert bpe_tokens(empty(df), BPE_FILE).count() == 0
 
 
+def test_a_block_of_new_words_takes_little_memory():
+    draw = random.Random(5)
+    words = ["".join(draw.choices(string.ascii_lowercase, k=9)) for _ in range(60_000)]
+    text = " ".join(draw.choices(words, k=2000))
+    texts = [text[i:] + f" {i}" for i in range(bpe.BLOCK_BYTES // len(text))]
+    vocab = bpe.load_vocabulary(BPE_FILE)
+    tracemalloc.start()
+    try:
+        bpe.encode_block(vocab, texts)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 
