@@ -20,8 +20,9 @@ from caudal.operators.features import (
 from caudal.operators.support import join_small, materialize
 
 WEIGHT = "peso"
-#: Training passes over the rows hundreds of times: parts of so many rows, then larger ones.
-PART_ROWS, PARTS, MOST_ROWS = 25_000, 48, 500_000
+#: Training passes over the rows hundreds of times: few parts, up to PARTS of PART_ROWS rows, then
+#: larger ones of up to MOST_ROWS.
+LEAST_PARTS, PART_ROWS, PARTS, MOST_ROWS = 8, 25_000, 48, 500_000
 
 
 def weighted(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -35,7 +36,7 @@ def training_parts(rows: int) -> int:
     """Parts to train on: work for all cores where it pays, else few, since a pass over a part
     costs the driver a task whatever the part holds. ``spark.sql.shuffle.partitions`` plays no
     part in it."""
-    return max(1, min(PARTS, -(-rows // PART_ROWS)), -(-rows // MOST_ROWS))
+    return max(LEAST_PARTS, min(PARTS, -(-rows // PART_ROWS)), -(-rows // MOST_ROWS))
 
 
 def _preparation(numeric: list[str], categorical: list[str]) -> list:

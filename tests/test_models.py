@@ -135,11 +135,11 @@ def test_gap_forecast_beats_nothing(spark):
 def test_training_rows_lie_in_few_parts_whatever_the_shuffle_makes(spark):
     rows = spark.range(400).select((F.col("id") % 2).cast("int").alias("y"), "id").repartition(40)
     ready = models.weighted(rows, "y")
-    assert ready.rdd.getNumPartitions() == 1
+    assert ready.rdd.getNumPartitions() == models.LEAST_PARTS
     assert {r["peso"] for r in ready.collect()} == {1.0} and ready.count() == 400
     assert models.weighted(rows.filter("id < 0"), "y").count() == 0
 
 
 def test_training_parts_follow_the_rows():
-    sizes = [0, 25_000, 25_001, 1_000_000, 20_000_000, 60_000_000]
-    assert [models.training_parts(n) for n in sizes] == [1, 1, 2, 40, 48, 120]
+    sizes = [0, 200_000, 200_001, 1_000_000, 20_000_000, 60_000_000]
+    assert [models.training_parts(n) for n in sizes] == [8, 8, 9, 40, 48, 120]
