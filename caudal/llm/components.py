@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.llm.storage import stored
+from caudal.llm.storage import join_shuffled, stored
 
 ROUNDS = 60
 
@@ -19,7 +19,7 @@ def _with_least(links: DataFrame) -> DataFrame:
     least = stored(
         links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least"
     )
-    return links.join(least, "u")
+    return join_shuffled(links, least, "u")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

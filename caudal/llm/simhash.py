@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 
 from caudal.llm.blocks import LOWER, blocks, ragged, text_bytes, words
 from caudal.llm.components import components
-from caudal.llm.storage import stored
+from caudal.llm.storage import join_shuffled, stored
 
 HASH_SEED = 42
 N_BYTES = 8
@@ -120,7 +120,8 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     at least ``8 - distance`` positional bytes: the guaranteed number of matches. The index is
     kept by that many positions at once, which is where a pair's tally reaches the number;
     a pair with more shared bytes is taken only under its first choice of positions. Tally and
-    distance are conditions of the join, so only links come out, each once.
+    distance are conditions of the join, so only links come out, each once. The index has a row
+    per choice of positions (70 at four) for each print; Spark's size for it does not count them.
     """
     if not 0 <= distance < N_BYTES:
         raise ValueError("the byte index needs a distance of 0 to 7 bits")
@@ -129,7 +130,8 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     a, b = index.alias("a"), index.alias("b")
     pa_, pb = F.col("a.print"), F.col("b.print")
     near = F.bit_count(pa_.bitwiseXOR(pb)) <= distance
-    return a.join(
+    return join_shuffled(
+        a,
         b,
         (F.col("a.choice") == F.col("b.choice"))
         & (F.col("a.bytes") == F.col("b.bytes"))
@@ -163,13 +165,15 @@ def simhash_groups(
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "prints")
     nodes = prints.groupBy("print").agg(F.min(id_col).alias("least"))
     found = components(links(prints, distance), "a", "b")
-    rooted = nodes.join(found, F.col("print") == F.col("node"), "left").select(
+    rooted = join_shuffled(nodes, found, F.col("print") == F.col("node"), "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
     rooted = stored(rooted, "rooted")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    labels = stored(rooted.join(least, "root").select("print", "component_id"), "labels")
-    return prints.join(labels, "print").select(
+    labels = stored(
+        join_shuffled(rooted, least, "root").select("print", "component_id"), "labels"
+    )
+    return join_shuffled(prints, labels, "print").select(
         id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from caudal.llm import bpe, maxent_lm, quality, secrets, simhash, substring_dedup
 from caudal.llm.bpe import bpe_tokens
 from caudal.llm.components import components
+from caudal.llm.storage import stored
 from caudal.llm.token_counts import token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -203,6 +204,32 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] is None and -1 or r["doc_id"] for r in kept.collect()) == [-1, 0, 2, 4]
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_found_without_sending_the_index(spark):
+    df = spark.createDataFrame([(k,) for k in range(300)], "print long")
+    found = simhash.links(df, 4)
+    assert found.count() == len(found.collect()) > 0
+    assert "SortMergeJoin" in executed(found) and "Broadcast" not in executed(found)
+
+
+@pytest.mark.parametrize("operator", [simhash.simhash_groups])
+def test_no_table_that_grows_with_the_documents_is_sent(spark, monkeypatch, operator):
+    plans = []
+
+    def recorded(df, purpose):
+        plans.append(executed(df))
+        return stored(df, purpose)
+
+    monkeypatch.setattr("caudal.llm.simhash.stored", recorded)
+    monkeypatch.setattr("caudal.llm.components.stored", recorded)
+    plans.append(executed(operator(documents(spark, near_copies(2, 10)))))
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert not any("Broadcast" in p for p in plans)
+
+
 # ---- quality ------------------------------------------------------------------------
 
 
