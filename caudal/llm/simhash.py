@@ -199,4 +199,6 @@ def keep_one(
                         key.alias("key"))
     groups = simhash_groups(keyed, shingle, distance, "key", "text")
     kept = stored(groups.filter("key = component_id").select("key").distinct(), "kept")
-    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
+    return (
+        join_shuffled(keyed, kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
+    )

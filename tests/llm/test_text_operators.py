@@ -215,7 +215,7 @@ def test_links_are_found_without_sending_the_index(spark):
     assert "SortMergeJoin" in executed(found) and "Broadcast" not in executed(found)
 
 
-@pytest.mark.parametrize("operator", [simhash.simhash_groups])
+@pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_one])
 def test_no_table_that_grows_with_the_documents_is_sent(spark, monkeypatch, operator):
     plans = []
 
